@@ -94,8 +94,8 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["tree", "node", "looped", "path"])
 
 
-def _state(links: DataFrame, local_links: int) -> tuple[list[DataFrame], DataFrame]:
-    """The peeled links of each round, and the state of the children of those left over."""
+def _state(links: DataFrame, local_links: int, paths: bool) -> tuple[list[DataFrame], DataFrame]:
+    """The links of each bottom-up round, and the state of the children of those left over."""
     left = cut(links)
     n, rounds = left.count(), []
     while n > local_links:
@@ -108,17 +108,27 @@ def _state(links: DataFrame, local_links: int) -> tuple[list[DataFrame], DataFra
         left, n = rest, m
     if n <= local_links:
         return rounds, cut(left.repartition(1).mapInPandas(_finish, STATE))
+    # No leaf is left, but links are still many: peel roots too. What stays is looped, what goes is sound.
     above = left
-    while True:  # no leaf is left, but links are still many: peel roots too; all that stays is looped
-        marked = cut(_kept(above, "parent", "child"))
-        rest = marked.filter("stays").drop("stays")
+    while True:
+        rest = cut(_kept(above, "parent", "child").filter("stays").drop("stays"))
         m = rest.count()
         if m == n:
             break
-        rounds.append(marked.filter("not stays").drop("stays"))
         above, n = rest, m
-    core = above.select("tree", F.col("child").alias("node")).distinct()
-    return rounds, cut(core.select("tree", "node", F.lit(True).alias("looped"), F.lit(None).cast("array<long>").alias("path")))
+    core = cut(above.select("tree", F.col("child").alias("node")).distinct())
+    state = core.select("tree", "node", F.lit(True).alias("looped"), F.lit(None).cast("array<long>").alias("path"))
+    if not paths:
+        return rounds, state
+    sound = left.join(core.withColumnRenamed("node", "child"), ["tree", "child"], "left_anti").groupBy("tree", "child").agg(F.min("parent").alias("parent"))
+    sound = cut(sound)
+    tops = sound.join(sound.select("tree", F.col("child").alias("parent")), ["tree", "parent"], "left_anti")
+    front = cut(tops.select("tree", F.col("child").alias("node"), F.lit(False).alias("looped"), F.array("parent", "child").alias("path")))
+    while not front.isEmpty():
+        state = cut(state.unionByName(front))
+        below = sound.join(front.select("tree", F.col("node").alias("parent"), "path"), ["tree", "parent"])
+        front = cut(below.select("tree", F.col("child").alias("node"), F.lit(False).alias("looped"), F.concat("path", F.array("child")).alias("path")))
+    return rounds, state
 
 
 def looped_nodes(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
@@ -131,7 +141,7 @@ def resolve(links: DataFrame, local_links: int = LOCAL_LINKS, paths: bool = True
 
     Without ``paths`` only looped nodes are followed, which shuffles far less, and only they are sure to come out.
     """
-    rounds, state = _state(links, local_links)
+    rounds, state = _state(links, local_links, paths)
     if not paths:
         bad = state.filter("looped").select("tree", "node")
         for peeled in reversed(rounds):
@@ -147,16 +157,10 @@ def resolve(links: DataFrame, local_links: int = LOCAL_LINKS, paths: bool = True
             F.coalesce(F.bool_or("looped"), F.lit(False)).alias("looped"), F.min_by(line, "parent").alias("path")
         )
         own = own.withColumn("path", F.when(~F.col("looped"), F.col("path")))
-        state = cut(_merged(state, own))
+        state = cut(state.unionByName(own))  # a child's links all go in one round, so no node comes twice
     return state
 
 
-def _merged(state: DataFrame, own: DataFrame) -> DataFrame:
-    """Both states; a node that has one from a bottom-up and one from a top-down round is looped if either says so."""
-    both = state.unionByName(own).groupBy("tree", "node")
-    return both.agg(F.bool_or("looped").alias("looped"), F.max("path").alias("path")).withColumn("path", F.when(~F.col("looped"), F.col("path")))
-
-
 def hierarchy(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     """Every node of the links: tree, node, parent, root, depth, path, subtree_size and looped.
 

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.names import blank, canonical_name
-from codeweft.session import cut, partitions, small
+from codeweft.operators.ranks import numbered
+from codeweft.session import cut, small
 
 #: Keys of a range; offsets fit 16 bits.
 RANGE = 1 << 14
@@ -114,17 +115,7 @@ def dictionary(names: DataFrame) -> DataFrame:
 
     Null names get no key. The driver sees one count a partition.
     """
-    n = partitions(names.sparkSession)
-    at = names.select("name").filter("name is not null").distinct().repartitionByRange(n, "name").sortWithinPartitions("name")
-    at = cut(at.select("name", F.monotonically_increasing_id().alias("_at")))
-    part = F.shiftright("_at", 33)
-    offset, before = {}, 0
-    for row in sorted(at.groupBy(part.alias("part")).count().collect()):
-        offset[row["part"]] = before
-        before += row["count"]
-    inner = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    shift = F.element_at(F.create_map(*[F.lit(x) for p, o in offset.items() for x in (p, o)]), part) if offset else F.lit(0)
-    return at.select("name", (inner + shift).cast("long").alias("key"))
+    return numbered(names.select("name").filter("name is not null").distinct(), "name", "key")
 
 
 def period(ts: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.arrays import has_tag, tags
+from codeweft.operators.ranks import numbered
 from codeweft.schema import METRICS
 
 
@@ -83,11 +84,11 @@ def named_clusters(labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """Labels (id, label) of a clustering to numbered clusters with profiles and names.
 
     Clusters are numbered from 1 by their lowest id; one of a single node is dropped unless the node is a file, but keeps
-    its number. The numbering needs one window over the clusters, not over the nodes.
+    its number.
     """
     own = nodes.join(labels, "id")
     firsts = own.groupBy("label").agg(F.min("id").alias("first"), F.count("*").alias("size"), F.max("symbol_type").alias("any_type"))
-    at = firsts.withColumn("number", F.row_number().over(Window.orderBy("first")))
+    at = numbered(firsts, "first").withColumn("number", F.col("place") + 1)
     kept = at.filter((F.col("size") > 1) | (F.col("any_type") == "file")).select("label", "number")
     rows = own.join(kept, "label").withColumn("cluster_id", F.col("number").cast("long"))
     return cluster_profiles(rows).withColumn("name", F.concat(F.lit("cluster_"), "cluster_id", F.lit("_"), "cluster_type"))

@@ -16,6 +16,8 @@ def get_spark(app: str = "codeweft", master: str | None = None, shuffle: int | N
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+    if master and master.startswith("local["):
+        b = b.config("spark.driver.memory", "6g")  # of a JVM that is yet to start; the driver does all the work there
     if shuffle:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle))
     return (

@@ -160,10 +160,12 @@ def _lexed(text: str, lang: str) -> Parsed:
         full = f"{owner[0]}.{name}" if owner else name
         if lang in ("typescript", "javascript") and kind == "method" and not owner:
             continue
-        head = re.sub(r"\s+", " ", text[start : text.find("{", at) if 0 <= text.find("{", at) < end else end]).strip()
+        stop = min(x for x in (text.find("{", at), text.find("\n", at) if lang == "gdscript" else -1, end) if x >= 0)
+        head = re.sub(r"\s+", " ", text[start : min(stop, end)]).strip().rstrip(":")
         mods = clean[clean.rfind("\n", 0, at) + 1 : at]
         seen = next((v for v in ("private", "protected", "internal") if re.search(rf"\b{v}\b", mods)), "public") if lang in ("typescript", "javascript") else "public"
-        before = re.search(r"(/\*(?:(?!\*/).)*\*/|(?:[ \t]*(?://|#)[^\n]*\n)+)[ \t]*\Z", text[: clean.rfind("\n", 0, start) + 1].rstrip(" \t"), re.S) if start else None
+        mark = "#" if lang in ("gdscript", "php") else "//"
+        before = re.search(rf"(/\*(?:(?!\*/).)*\*/|(?:[ \t]*{mark}[^\n]*\n)+)[ \t]*\n?\Z", text[: clean.rfind("\n", 0, start) + 1], re.S)
         doc = re.sub(r"(?m)^\s*(?:/\*\*?|\*/|\*|///?|#+)\s?|\*/\s*$", "", before.group(1)).strip() if before else None
         out.nodes.append((full, kind, line(start), line(max(start, end - 1)), None if kind in ("class", "interface", "module") else head[:500], seen, 1 + len(branch.findall(clean, at, end)), doc or None))
         out.edges.append((owner[0] if owner else "", full, "contains" if owner else "defines", False, line(at)))
