@@ -6,8 +6,9 @@ and goes on to the next larger rest until one is compatible; among containers of
 source is preferred. Only texts above the capacity are split, into full pieces and a rest.
 
 Two copies of a text, equal but for case and white space, never share a container, unless a cluster has more copies than
-the containers its pieces need anyway: then it is cut into sub-clusters of so many copies, one bit each, and as few
-copies as possible meet. Without that rule, a cluster with a third of all rows would leave most containers empty.
+the containers its pieces need anyway: then it is cut into sub-clusters of so many copies, one bit each. Where clusters
+of very many copies would still leave room unused, their sub-clusters are halved, so that copies may meet, until they
+don't. Without that rule, a cluster with a third of all rows would leave most containers nearly empty.
 
 Pieces are spread over independent shards by a hash of their key, so that a task packs about ``shard_items`` pieces; a
 shard wastes less than one container more than a single packing would.
@@ -31,11 +32,23 @@ SHARD_BINS = 1 << 24
 
 
 def best_fit(sizes: np.ndarray, clusters: np.ndarray, sources: np.ndarray, capacity: int) -> np.ndarray:
-    """The container of each piece; sizes are at most the capacity. Equal sizes go in the order given."""
-    n = len(sizes)
-    out = np.zeros(n, np.int64)
+    """The container of each piece; sizes are at most the capacity. Equal sizes go in the order given.
+
+    If heavy clusters, with more copies than a quarter of the containers needed, leave more than a hundredth of the room
+    unused, their copies may meet twice as often, until they don't. Other clusters' copies never meet.
+    """
     need = max(1, -(-int(sizes.sum()) // capacity))
-    names, own, copies = np.unique(clusters, return_inverse=True, return_counts=True)
+    own, copies = np.unique(clusters, return_inverse=True, return_counts=True)[1:]
+    most, meet = int(copies.max(initial=1)), 1
+    while True:
+        out = _fit(sizes, own, copies, sources, capacity, need, meet)
+        if out.max(initial=0) + 1 <= 1.01 * need + 1 or 4 * most <= need or meet >= most:
+            return out
+        meet *= 2
+
+
+def _fit(sizes: np.ndarray, own: np.ndarray, copies: np.ndarray, sources: np.ndarray, capacity: int, need: int, meet: int) -> np.ndarray:
+    out = np.zeros(len(sizes), np.int64)
     bit: dict[tuple[int, int], int] = {}
     seen: dict[int, int] = {}
     rest: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -47,7 +60,8 @@ def best_fit(sizes: np.ndarray, clusters: np.ndarray, sources: np.ndarray, capac
         size, c, src, mine = int(sizes[i]), int(own[i]), source_bit[sources[i]], 0
         if copies[c] > 1:
             k = seen[c] = seen.get(c, -1) + 1
-            mine = bit.setdefault((c, k // need), 1 << len(bit))
+            room = max(1, need // meet) if 4 * copies[c] > need else need
+            mine = bit.setdefault((c, k // room), 1 << len(bit))
         place, above = -1, open_ >> size << size
         while above:
             r = (above & -above).bit_length() - 1
