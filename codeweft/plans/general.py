@@ -82,6 +82,11 @@ def name_sql(column: str) -> str:
     return _NAME.replace("{0}", column)
 
 
+def path_sql(column: str) -> str:
+    """DuckDB's form of ``canonical``."""
+    return _PATH.replace("{0}", column)
+
+
 _LINKS = """links as (select distinct lower(trim(edge_type)) tree, case when lower(trim(edge_type)) = 'contains' then to_id else from_id end child,
   case when lower(trim(edge_type)) = 'contains' then from_id else to_id end parent from edges
   where lower(trim(edge_type)) in ('contains', 'inherits') and from_id is not null and to_id is not null)"""
