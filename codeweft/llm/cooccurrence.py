@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.session import cut
+from codeweft.session import cut, small
 
 #: Items of a block; a block pairs with another in at most this many squared pairs.
 BLOCK = 64
@@ -29,8 +29,8 @@ def _baskets(df: DataFrame, basket: str, item: Column | str) -> DataFrame:
 def _blocks(items: DataFrame, block: int) -> DataFrame:
     """(basket, n_blocks, block, items) with sorted arrays; items of large baskets are spread over blocks by hash."""
     sizes = items.groupBy("basket").agg(F.count("*").alias("size"))
-    large = sizes.filter(F.col("size") > block).select("basket", F.ceil(2 * F.col("size") / block).cast("int").alias("n_blocks"))
-    split = items.join(large, "basket", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    large = cut(sizes.filter(F.col("size") > block).select("basket", F.ceil(2 * F.col("size") / block).cast("int").alias("n_blocks")))
+    split = items.join(small(large, large.count()), "basket", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
     at = F.when(F.col("n_blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("item"), F.col("n_blocks"))).cast("int")
     return split.groupBy("basket", "n_blocks", at.alias("block")).agg(F.sort_array(F.collect_list("item")).alias("items"))
 
@@ -67,7 +67,7 @@ def cooccurrence(
     counts = own.groupBy("item").agg(F.count("*").alias("n_item"))
     if least > 1:
         counts = cut(counts.filter(F.col("n_item") >= least))
-        own = own.join(counts.select("item"), "item", "left_semi")
+        own = own.join(small(counts.select("item"), counts.count()), "item", "left_semi")
     found = _pairs(_blocks(own, block)).groupBy("item_a", "item_b").agg(F.count("*").alias("n_ab")).filter(F.col("n_ab") >= least)
     for side in "ab":
         found = found.join(counts.select(F.col("item").alias(f"item_{side}"), F.col("n_item").alias(f"n_{side}")), f"item_{side}")

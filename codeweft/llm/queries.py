@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions.names import folded
 from codeweft.llm import cooccurrence, docpairs, packing, provenance, quality, tokenize
+from codeweft.plans.general import path_sql
 from codeweft.sources.tables import current, table
 
 CAPACITY = 4096
@@ -123,7 +124,32 @@ _COUNTS = r"""t as (select distinct node_id, lower(regexp_replace(tag, '^\s+|\s+
   c as (select tag, count(*) n from t group by tag), total as (select count(distinct node_id) n from node_tags),
   p as (select a.tag tag_a, b.tag tag_b, count(*) n_ab from t a join t b on a.node_id = b.node_id and a.tag < b.tag group by all),
   q as (select p.*, ca.n n_a, cb.n n_b, total.n from p join c ca on ca.tag = tag_a join c cb on cb.tag = tag_b cross join total)"""
+_MODEL = provenance.Model()
+
+
+def _matches(value: str, pattern: str) -> str:
+    return f"coalesce(regexp_matches({value}, '{pattern.replace(chr(39), chr(39) * 2)}'), false)"
+
+
+# The label of a file is told by its own evidence alone, as its neighbours never overturn it: so SQL needs no propagation.
+_EVIDENCE = " or ".join(
+    [
+        "coalesce(is_generated, false)",
+        _matches("base", provenance.GENERATED_NAMES),
+        _matches("'/' || dir", provenance.BUILD_DIRS),
+        _matches("regexp_replace(docstring, '</?summary>', '', 'g')", provenance.GENERATED_DOCS),
+        _matches("base", provenance.MINIFIED_NAMES),
+        f"coalesce(code and loc > 0 and cyclomatic > {_MODEL.dense} * loc and cyclomatic > 20, false)",
+        _matches("dir", provenance.vendor_pattern()),
+        "coalesce(checksum <> '' and checksum in (select checksum from known_packages where checksum is not null), false)",
+        f"coalesce(code and loc >= {_MODEL.lines} and coalesce(cyclomatic, 0) <= 1, false)",
+    ]
+)
 SQL = {
+    "p4_found": rf"""with f as (select *, coalesce({path_sql("file_path")}, {path_sql("qualified_name")}, '') path from (select distinct on (id) * from nodes where id is not null order by id, version desc nulls last)
+        where lower(trim(symbol_type)) = 'file'),
+      g as (select *, regexp_replace(path, '/?[^/]*$', '') dir, regexp_extract(path, '[^/]*$', 0) base from f), h as (select *, regexp_extract(base, '([^.]*)$', 1) not in {provenance.DATA_LANGUAGES} code from g)
+      select id node_id from h where {_EVIDENCE}""",
     "p1_found": f"with {_COUNTS} select tag_a, tag_b from q where n_ab >= 5 and 1000 * n_ab >= 3 * n and n_ab * n >= 2 * n_a * n_b",
     "p1_pairs": f"""with {_COUNTS} select tag_a, tag_b, n_a, n_b, n_ab, round(n_ab * cast(n as double) / (cast(n_a as double) * n_b), 6) lift,
       round(log2(n_ab * cast(n as double) / (cast(n_a as double) * n_b)), 6) pmi from q""",
