@@ -27,11 +27,11 @@ def two_cycles(links: DataFrame) -> DataFrame:
     return pair.groupBy("low", "high").agg(F.countDistinct("up").alias("n")).filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
 
 
-def _trim(links: DataFrame) -> tuple[DataFrame, int]:
-    """Links whose ends both have links in and out, peeled round by round until few more go."""
+def _trim(links: DataFrame, enough: int) -> tuple[DataFrame, int]:
+    """Links whose ends both have links in and out, peeled round by round until few more go or ``enough`` are left."""
     links = cut(links)
     n = links.count()
-    while True:
+    while n > enough:
         ins = links.select(F.col("b").alias("a")).distinct()
         outs = links.select(F.col("a").alias("b")).distinct()
         left = cut(links.join(ins, "a", "left_semi").join(outs, "b", "left_semi").select("a", "b"))
@@ -39,6 +39,7 @@ def _trim(links: DataFrame) -> tuple[DataFrame, int]:
         if m > 0.98 * n or m == 0:
             return left, m
         links, n = left, m
+    return links, n
 
 
 def _local(batches):
@@ -75,7 +76,8 @@ def _local(batches):
                     done.add(x)
                     todo.append(x)
         if len(group) > 1:
-            out += [(i, min(group)) for i in group]
+            low = min(group)
+            out += [(i, low) for i in group]
     yield pd.DataFrame(out, columns=["id", "component"])
 
 
@@ -85,7 +87,7 @@ def components(links: DataFrame, local_links: int = LOCAL_LINKS, rounds: int = 2
     Links that can't lie on a cycle are trimmed in distributed rounds. If few are left (counted), one task finishes; else
     the lowest id that reaches a node spreads forward, components are what the lowest ids reach back, and the rest goes on.
     """
-    left, n = _trim(links)
+    left, n = _trim(links, local_links)
     if n <= local_links:
         return left.repartition(1).mapInPandas(_local, "id long, component long")
     found: DataFrame | None = None
@@ -106,7 +108,7 @@ def components(links: DataFrame, local_links: int = LOCAL_LINKS, rounds: int = 2
             back = cut(back.unionByName(front))
         own = back.select("id", F.col("low").alias("component"))
         found = own if found is None else found.unionByName(own)
-        left, n = _trim(left.join(back.select(F.col("id").alias("a")), "a", "left_anti").join(back.select(F.col("id").alias("b")), "b", "left_anti"))
+        left, n = _trim(left.join(back.select(F.col("id").alias("a")), "a", "left_anti").join(back.select(F.col("id").alias("b")), "b", "left_anti"), local_links)
         if n <= local_links:
             found = found.unionByName(left.repartition(1).mapInPandas(_local, "id long, component long"))
             break

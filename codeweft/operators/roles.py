@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.arrays import has_tag, same_set, tags
-from codeweft.session import cut
+from codeweft.session import cut, small
 
 # Directories that tell a layer, name parts that tell a role, files that are entry points.
 LAYERS = {"layer:data": ("db", "repository"), "layer:api": ("server", "api"), "layer:core": ("indexer", "engine"), "layer:utility": ("utils", "shared"), "layer:domain": ("types", "domain")}
 ROLES = {"role:repository": "repo", "role:service": "service", "role:controller": "controller", "role:parser": "parser", "role:server": "server", "role:utility": "util"}
+#: Links that one task may finish.
+LOCAL_LINKS = 250_000
 ENTRY_FILES = r"(main|bootstrap|index)\.ts$"
 
 
@@ -52,15 +55,49 @@ def merge_roles(own: Column, parent: Column) -> Column:
     return F.when(F.array_contains(own, "trait:internal"), own).otherwise(merged)
 
 
-def inherited(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+def _finish(_: tuple, links: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    """The fixpoint over few links, in one task, by the rule of ``merge_roles``."""
+    tag = {i: list(t) for i, t in zip(state["id"], state["tags"])}
+    children: dict[int, list[int]] = {}
+    for i, p in zip(links["id"], links["parent"]):
+        children.setdefault(p, []).append(i)
+    todo = list(children)
+    while todo:
+        p = todo.pop()
+        roles = [t for t in tag.get(p, ()) if t.startswith("role:")]
+        for i in children.get(p, ()) if roles else ():
+            own = tag.get(i)
+            if own is None or "trait:internal" in own:
+                continue
+            other = [t for t in roles if t != "role:utility" and t not in own]
+            if other:
+                tag[i] = [t for t in own if t != "role:utility"] + other
+            elif "role:utility" in roles and not any(t.startswith("role:") for t in own):
+                tag[i] = [*own, "role:utility"]
+            else:
+                continue
+            todo.append(i)
+    return pd.DataFrame({"id": list(tag), "tags": list(tag.values())})
+
+
+def inherited(nodes: DataFrame, edges: DataFrame, rounds: int = 200, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(id, tags) after every node has taken the roles of what it inherits from or implements, until none changes.
 
-    Roles only spread, so loops end. In a round only children of nodes that changed in the last one are looked at, and the
-    roles of all parents of a node are merged in one grouping. ``rounds`` bounds the longest chain.
+    Roles only spread, so loops end. Nodes without such a link are left alone. Up to ``local_links`` links (counted) are
+    finished by one task; beyond, rounds are distributed: in each only children of nodes that changed in the last one are
+    looked at, and the roles of all parents of a node are merged in one grouping; ``rounds`` bounds the longest chain.
     """
     links = edges.filter(F.col("edge_type").isin("inherits", "implements") & F.col("from_id").isNotNull() & F.col("to_id").isNotNull())
     links = cut(links.select(F.col("from_id").alias("id"), F.col("to_id").alias("parent")).distinct())
-    state = cut(nodes.select("id", tags().alias("tags")))
+    every = cut(nodes.select("id", tags().alias("tags")))
+    n = links.count()
+    ends = links.select(F.explode(F.array("id", "parent")).alias("id")).distinct()
+    state = cut(every.join(small(ends, 2 * n), "id", "left_semi"))
+    aside = every.join(small(ends, 2 * n), "id", "left_anti")
+    if n <= local_links:
+        one = F.lit(0).alias("_one")
+        done = links.groupBy(one).cogroup(state.groupBy(one)).applyInPandas(_finish, "id long, tags array<string>")
+        return aside.unionByName(done)
     changed = state
     for _ in range(rounds):
         sent = links.join(changed.select(F.col("id").alias("parent"), F.filter("tags", lambda t: t.startswith("role:")).alias("roles")), "parent")
@@ -71,7 +108,7 @@ def inherited(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFram
         changed = new.filter("_moved").select("id", "tags")
         if changed.isEmpty():
             break
-    return state
+    return aside.unionByName(state)
 
 
 def retagged(nodes: DataFrame, edges: DataFrame) -> DataFrame:

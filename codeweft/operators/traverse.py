@@ -26,6 +26,8 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int = 5, incoming: bool = Fa
     steps = edges.filter("from_id is not null and to_id is not null").select(
         F.col(own).alias("at"), F.col(other).alias("next"), F.col("id").alias("edge"), F.coalesce("call_site_line", F.lit(-1)).alias("line")
     )
+    if depth > 1:
+        steps = cut(steps)  # read again at every level
     seen = cut(starts.filter("id is not null").select(F.col("id").alias("start"), "id").distinct().select(
         "start", "id", F.lit(0).alias("distance"), F.array("id").alias("path"), F.array().cast("array<int>").alias("lines")
     ))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,17 @@ def get_spark(app: str = "codeweft", master: str | None = None, shuffle: int | N
     )
 
 
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where it lies, whatever folder the driver was started in.
+
+    On a cluster whose machines don't share that folder the package comes with ``--py-files``, as any other.
+    """
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder.
 

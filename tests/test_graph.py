@@ -101,13 +101,15 @@ def test_merging_roles(spark, own, parent, want):
     assert set(df.select(roles.merge_roles(F.col("a"), F.col("b"))).first()[0]) == want
 
 
-def test_roles_spread_over_hops_and_loops(spark):
-    n = nodes_of(spark, {"id": 1, "tags": ["role:repository"]}, {"id": 2, "tags": ["role:service"]}, {"id": 3, "tags": ["role:controller"]}, {"id": 4, "tags": ["role:parser"]}, {"id": 5, "tags": ["role:server"]})
-    e = edges_of(spark, (2, 1, "inherits"), (3, 2, "implements"), (4, 5, "inherits"), (5, 4, "inherits"))
-    got = {r.id: set(r.tags) for r in roles.inherited(n, e).collect()}
+@pytest.mark.parametrize("local", [0, 1000])
+def test_roles_spread_over_hops_and_loops(spark, local):
+    n = nodes_of(spark, {"id": 1, "tags": ["role:repository"]}, {"id": 2, "tags": ["role:service"]}, {"id": 3, "tags": ["role:controller"]}, {"id": 4, "tags": ["role:parser"]}, {"id": 5, "tags": ["role:server"]}, {"id": 6, "tags": None}, {"id": 7, "tags": ["role:utility"]}, {"id": 8, "tags": ["trait:internal"]})
+    e = edges_of(spark, (6, 7, "inherits"), (7, 1, "inherits"), (8, 1, "inherits"), (2, 99, "inherits"), (None, 1, "inherits"), (2, 1, "inherits"), (3, 2, "implements"), (4, 5, "inherits"), (5, 4, "inherits"))
+    got = {r.id: set(r.tags) for r in roles.inherited(n, e, local_links=local).collect()}
     assert got[3] == {"role:controller", "role:service", "role:repository"} and got[4] == got[5] == {"role:parser", "role:server"}
-    again = n.drop("tags").join(roles.inherited(n, e), "id")
-    assert {r.id: set(r.tags) for r in roles.inherited(again, e).collect()} == got
+    assert got[6] == got[7] == {"role:repository"} and got[8] == {"trait:internal"}
+    again = n.drop("tags").join(roles.inherited(n, e, local_links=local), "id")
+    assert {r.id: set(r.tags) for r in roles.inherited(again, e, local_links=local).collect()} == got
 
 
 def test_structural_tags(spark):
