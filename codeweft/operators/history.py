@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeweft.operators.orphans import epoch
+
 
 def commit_time(date: Column) -> Column:
     """An ISO date as a timestamp, null if it can't be read."""
@@ -78,11 +80,14 @@ def diff_events(diff: DataFrame) -> DataFrame:
 
 
 def annotations(notes: DataFrame, name: str | None = None, kind: str | None = None, limit: int = 20) -> DataFrame:
-    """The newest annotations, of a symbol or a kind if given; ``limit`` is clamped to 1..100."""
+    """The newest annotations, of a symbol or a kind if given; ``limit`` is clamped to 1..100.
+
+    Stamps in milliseconds count as the seconds they stand for and come out as such; null stamps sort last.
+    """
     if name:
         notes = notes.filter(F.col("node_qname") == name)
     if kind:
         notes = notes.filter(F.col("kind") == kind)
-    day = F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM-dd")
-    rows = notes.select("id", "node_qname", "kind", "body", "author", "created_at", day.alias("day"), "commit_hash")
-    return rows.orderBy(F.desc_nulls_last("created_at"), "id").limit(max(1, min(100, int(limit))))
+    at = epoch(F.col("created_at"))
+    rows = notes.select("id", "node_qname", "kind", "body", "author", F.unix_seconds(at).alias("created_at"), F.date_format(at, "yyyy-MM-dd").alias("day"), "commit_hash", at.alias("_at"))
+    return rows.orderBy(F.desc_nulls_last("_at"), "id").limit(max(1, min(100, int(limit)))).drop("_at")

@@ -522,8 +522,7 @@ def history_limit5(spark, d):
 @query("""select * from (select distinct on (id) id, node_qname, kind, body, author, created_at, strftime(make_timestamp(created_at * 1000000), '%Y-%m-%d') "day", commit_hash
   from annotations where created_at < 100000000000 order by id) order by created_at desc nulls last, id limit 50""")
 def newest_annotations(spark, d):
-    own = table(spark, d, "annotations").filter("created_at < 100000000000").dropDuplicates(["id"])
-    return history.annotations(own, limit=50)
+    return history.annotations(table(spark, d, "annotations").dropDuplicates(["id"]), limit=50)
 
 
 # -- ingestion ---------------------------------------------------------------------------------------------------------

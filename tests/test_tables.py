@@ -129,3 +129,11 @@ def test_extra_columns_with_clashing_names(spark):
 
     assert {r.id for r in degree.fan_metrics(e).collect()} == {2, 3}
     assert heavy.calls_per_target(e.withColumn("calls", F.lit(1))).count() == 1
+
+
+def test_annotations_in_milliseconds_and_without_a_stamp(spark):
+    kind = "id long, node_qname string, kind string, body string, author string, created_at long, commit_hash string"
+    stamps = [(1, 1_700_000_000), (2, 1_700_086_400_500), (3, None), (4, 1_700_172_800), (5, 1_600_000_000_000)]
+    notes = spark.createDataFrame([(i, "a#f", "note", "b", "x", at, "c") for i, at in stamps], kind)
+    got = [(r.id, r.created_at, r.day) for r in history.annotations(notes).collect()]
+    assert got == [(4, 1_700_172_800, "2023-11-16"), (2, 1_700_086_400, "2023-11-15"), (1, 1_700_000_000, "2023-11-14"), (5, 1_600_000_000, "2020-09-13"), (3, None, None)]
