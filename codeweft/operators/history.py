@@ -17,8 +17,8 @@ def recent_changes(nodes: DataFrame, limit: int = 20, since: str | None = None)
     """(hash, message, author, date, n_symbols, symbols) of the newest commits over all symbols' histories.
 
     A commit older than ``since`` (a timestamp) is left out; one whose date can't be read is kept and sorts last. Where
-    symbols disagree on a commit, the one of the lowest id tells it. ``symbols`` has the first 100 names in order, for
-    a commit may touch every symbol; ``n_symbols`` counts all. ``limit`` is clamped to 1..50.
+    symbols disagree on a commit, the one of the lowest id tells it. ``symbols`` has every name once and in order,
+    so a row is as long as its commit is wide; ``n_symbols`` counts the nodes. ``limit`` is clamped to 1..50.
     """
     limit = max(1, min(50, int(limit)))
     own = nodes.select("id", "qualified_name", F.explode("history").alias("c")).filter("c.hash is not null")
@@ -28,8 +28,7 @@ def recent_changes(nodes: DataFrame, limit: int = 20, since: str | None = None)
     first = own.groupBy("c.hash").agg(F.min_by("c", "id").alias("c"), F.count("*").alias("n_symbols"))
     top = first.orderBy(F.desc_nulls_last(commit_time(F.col("c.date"))), "hash").limit(limit)
     named = own.select("c.hash", "qualified_name").join(F.broadcast(top.select("hash")), "hash")  # at most 50 rows
-    place = named.distinct().withColumn("_n", F.row_number().over(Window.partitionBy("hash").orderBy("qualified_name"))).filter("_n <= 100")
-    names = place.groupBy("hash").agg(F.array_sort(F.collect_list("qualified_name")).alias("symbols"))
+    names = named.distinct().groupBy("hash").agg(F.array_sort(F.collect_list("qualified_name")).alias("symbols"))
     return top.join(names, "hash").select("hash", "c.message", "c.author", "c.date", "n_symbols", "symbols")
 
 

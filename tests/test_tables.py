@@ -71,6 +71,14 @@ def test_recent_changes(spark):
     assert [r.hash for r in history.recent_changes(n, 5, since="2025-06-01").collect()] == ["h2"]
 
 
+def test_a_commit_of_many_symbols_names_all(spark):
+    c = "array<struct<hash:string,message:string,author:string,date:string>>"
+    names = [f"s{i:03}" for i in range(250)]
+    n = spark.createDataFrame([(i, q, [("h", "m", "x", "2025-01-02")]) for i, q in enumerate(names)], f"id long, qualified_name string, history {c}")
+    got = history.recent_changes(n).first()
+    assert got.n_symbols == 250 and list(got.symbols) == names
+
+
 def test_consistency(spark):
     disk = spark.createDataFrame([("same", "c", "h"), ("changed", "c", "h"), ("behind", "c", "h2"), ("live", "c", "h2"), ("new", "c", "h")], "file_path string, checksum string, commit_hash string")
     idx = spark.createDataFrame([("same", "c", "h"), ("changed", "d", "h"), ("behind", "c", "h1"), ("live", "c", "watcher-change"), ("gone", "c", "h")], "file_path string, checksum string, last_updated_commit string")
