@@ -69,8 +69,8 @@ def code_specs(spark, d):
 
 
 def embedded_symbols(spark, d):
-    """(id, embedding) of every file by the offline provider."""
-    own = N(spark, d, "qualified_name", "symbol_type", "signature", "file_path", "docstring").filter("symbol_type = 'file'")
+    """(id, embedding) of every current node by the offline provider."""
+    own = N(spark, d, "qualified_name", "symbol_type", "signature", "file_path", "docstring")
     return vectors.embedded(own.select("id", vectors.snippet().alias("text")))
 
 

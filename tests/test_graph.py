@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from codeweft import schema
 from codeweft.operators import communities, cycles, deadcode, degree, export, lookup, overview, policies, risk, roles, rules, traverse
+from codeweft.plans import texts
 
 
 def nodes_of(spark, *rows):
@@ -201,3 +202,10 @@ def test_exports_escape(spark):
     assert '    <node id="a&lt;&quot;&amp;"/>' in export.document(export.graphml(n, e))
     assert '  "a<\\"&" -> "remote:p:x";' in export.document(export.dot(n, e))
     assert '  N2["[p] method: remote:p:x"]:::remote' in export.document(export.mermaid(n, e))
+
+
+def test_every_type_of_node_is_embedded(spark, tmp_path):
+    kinds = ("file", "class", "function", "method", "Method ", None)
+    n = nodes_of(spark, *[{"id": i, "qualified_name": f"a#{i}", "symbol_type": k} for i, k in enumerate(kinds)])
+    n.write.parquet(f"{tmp_path}/nodes.parquet")
+    assert {r.id for r in texts.embedded_symbols(spark, str(tmp_path)).collect()} == set(range(len(kinds)))
