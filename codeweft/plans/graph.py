@@ -253,9 +253,9 @@ def impact_bfs(spark, d):
     recursive=True,
 )
 def impact_paths(spark, d):
+    """(id, distance, impact_path) of what reaches the start in three steps; a step without a node has no name in the path."""
     whole = traverse.impact(N(spark, d, "qualified_name"), E(spark, d), _start(spark, d), 3)
-    # A step without a node has no name; such paths are left out here, as SQL's nulls leave them out.
-    return whole.filter(F.size(F.split("impact_path", " -> ")) == F.col("distance") + 1).select("id", "distance", "impact_path")
+    return whole.select("id", "distance", "impact_path")
 
 
 @query(",walk as (select (select min(from_id) from e where edge_type = 'calls') id, 0 distance union select e.to_id, w.distance + 1 from walk w join e on e.from_id = w.id where w.distance < 2 and e.to_id is not null), reached as (select id, min(distance) distance from walk group by id) select r.id, c.qualified_name, r.distance from reached r join cur c on c.id = r.id where r.distance > 0", recursive=True)

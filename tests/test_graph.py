@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from codeweft import schema
 from codeweft.operators import communities, cycles, deadcode, degree, export, lookup, overview, policies, risk, roles, rules, traverse
-from codeweft.plans import texts
+from codeweft.plans import graph, texts
 
 
 def nodes_of(spark, *rows):
@@ -209,3 +209,11 @@ def test_every_type_of_node_is_embedded(spark, tmp_path):
     n = nodes_of(spark, *[{"id": i, "qualified_name": f"a#{i}", "symbol_type": k} for i, k in enumerate(kinds)])
     n.write.parquet(f"{tmp_path}/nodes.parquet")
     assert {r.id for r in texts.embedded_symbols(spark, str(tmp_path)).collect()} == set(range(len(kinds)))
+
+
+def test_impact_paths_run_through_unknown_ids_and_odd_names(spark, tmp_path):
+    names = {1: "n1", 3: "n3", 4: "a -> b"}  # 2 has no node
+    nodes_of(spark, *[{"id": i, "qualified_name": q} for i, q in names.items()]).write.parquet(f"{tmp_path}/nodes.parquet")
+    calls(spark, (2, 1), (3, 2), (4, 1)).write.parquet(f"{tmp_path}/edges.parquet")
+    got = {r.id: (r.distance, r.impact_path) for r in graph.impact_paths(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, "n1"), 3: (2, "n3 -> n1"), 4: (1, "a -> b -> n1")}
