@@ -9,7 +9,8 @@ own. A forest loses most links in the first rounds. Once the links left over are
 that doesn't grow with the data), one task peels them from both sides; until then, and for ever if they stay many,
 rounds go on distributed. What no peeling from either side removes is looped: each of its nodes has a parent in it. The
 reverse peel order then hands loops, paths and depths down, one join a round. Descendant lists leave as rows (ancestor,
-descendant, distance), because a root's list has no bound; subtree sizes are their map-side combined counts.
+descendant, distance), because a root's list has no bound, and subtree sizes are their map-side combined counts: every
+sound node has all nodes below it, whatever chain leads down to them, so looped ones too. Looped nodes have no list.
 """
 
 from __future__ import annotations
@@ -94,8 +95,28 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["tree", "node", "looped", "path"])
 
 
-def _state(links: DataFrame, local_links: int, paths: bool) -> tuple[list[DataFrame], DataFrame]:
-    """The links of each bottom-up round, and the state of the children of those left over."""
+def _below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All links left over, in one task: what lies below each ``sound`` parent, level by level."""
+    parts, names = list(batches), ["tree", "ancestor", "descendant", "distance"]
+    for tree, own in pd.concat(parts).groupby("tree") if parts else ():
+        children = defaultdict(list)
+        for c, p in zip(own.child, own.parent):
+            children[p].append(c)
+        out: list[tuple] = []
+        for top in own.parent[own.sound].unique():
+            seen, front, distance = {top}, [top], 0
+            while front:
+                front, distance = list({c for p in front for c in children.get(p, ())} - seen), distance + 1
+                seen.update(front)
+                out += [(tree, top, c, distance) for c in front]
+            if len(out) >= LOCAL_LINKS:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        yield pd.DataFrame(out, columns=names)
+
+
+def _peel(links: DataFrame, local_links: int) -> tuple[list[DataFrame], DataFrame, int]:
+    """The links of each bottom-up round, those left over and their number."""
     left = cut(links)
     n, rounds = left.count(), []
     while n > local_links:
@@ -106,8 +127,13 @@ def _state(links: DataFrame, local_links: int, paths: bool) -> tuple[list[DataFr
             break
         rounds.append(marked.filter("not stays").drop("stays"))
         left, n = rest, m
+    return rounds, left, n
+
+
+def _state(left: DataFrame, n: int, local_links: int, paths: bool) -> DataFrame:
+    """The state of the children of the ``n`` links left over."""
     if n <= local_links:
-        return rounds, cut(left.repartition(1).mapInPandas(_finish, STATE))
+        return cut(left.repartition(1).mapInPandas(_finish, STATE))
     # No leaf is left, but links are still many: peel roots too. What stays is looped, what goes is sound.
     above = left
     while True:
@@ -119,7 +145,7 @@ def _state(links: DataFrame, local_links: int, paths: bool) -> tuple[list[DataFr
     core = cut(above.select("tree", F.col("child").alias("node")).distinct())
     state = core.select("tree", "node", F.lit(True).alias("looped"), F.lit(None).cast("array<long>").alias("path"))
     if not paths:
-        return rounds, state
+        return state
     sound = left.join(core.withColumnRenamed("node", "child"), ["tree", "child"], "left_anti").groupBy("tree", "child").agg(F.min("parent").alias("parent"))
     sound = cut(sound)
     tops = sound.join(sound.select("tree", F.col("child").alias("parent")), ["tree", "parent"], "left_anti")
@@ -128,7 +154,7 @@ def _state(links: DataFrame, local_links: int, paths: bool) -> tuple[list[DataFr
         state = cut(state.unionByName(front))
         below = sound.join(front.select("tree", F.col("node").alias("parent"), "path"), ["tree", "parent"])
         front = cut(below.select("tree", F.col("child").alias("node"), F.lit(False).alias("looped"), F.concat("path", F.array("child")).alias("path")))
-    return rounds, state
+    return state
 
 
 def looped_nodes(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
@@ -141,7 +167,12 @@ def resolve(links: DataFrame, local_links: int = LOCAL_LINKS, paths: bool = True
 
     Without ``paths`` only looped nodes are followed, which shuffles far less, and only they are sure to come out.
     """
-    rounds, state = _state(links, local_links, paths)
+    return _resolved(_peel(links, local_links), local_links, paths)
+
+
+def _resolved(peeled_off: tuple[list[DataFrame], DataFrame, int], local_links: int, paths: bool) -> DataFrame:
+    rounds, left, n = peeled_off
+    state = _state(left, n, local_links, paths)
     if not paths:
         bad = state.filter("looped").select("tree", "node")
         for peeled in reversed(rounds):
@@ -165,10 +196,11 @@ def hierarchy(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     """Every node of the links: tree, node, parent, root, depth, path, subtree_size and looped.
 
     Roots have depth 0, a null parent and a path of themselves. For looped nodes all but tree, node and looped is null.
-    ``subtree_size`` counts the node and its sound descendants along the paths.
+    ``subtree_size`` counts the node and its descendants, looped ones included.
     """
     links = cut(links)
-    state = resolve(links, local_links)
+    peeled_off = _peel(links, local_links)
+    state = _resolved(peeled_off, local_links, True)
     roots = (
         links.select("tree", F.col("parent").alias("node"))
         .distinct()
@@ -176,7 +208,8 @@ def hierarchy(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
         .select("tree", "node", F.lit(False).alias("looped"), F.array("node").alias("path"))
     )
     every = cut(state.unionByName(roots))
-    sizes = every.filter("not looped").select("tree", F.explode("path").alias("node")).groupBy("tree", "node").agg(F.count("*").alias("subtree_size"))
+    pairs = _pairs(peeled_off, state.filter("looped"), local_links)
+    sizes = pairs.groupBy("tree", F.col("ancestor").alias("node")).agg(F.count("*").alias("_below"))
     depth = F.size("path") - 1
     sound = ~F.col("looped")
     return every.join(sizes, ["tree", "node"], "left").select(
@@ -186,13 +219,42 @@ def hierarchy(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
         F.when(sound, F.try_element_at("path", F.lit(1))).alias("root"),
         F.when(sound, depth).alias("depth"),
         "path",
-        F.when(sound, F.col("subtree_size")).alias("subtree_size"),
+        F.when(sound, F.coalesce("_below", F.lit(0)) + 1).alias("subtree_size"),
         "looped",
     )
 
 
 def descendants(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
-    """(tree, ancestor, descendant, distance) along the paths of sound nodes; distance 1 is a child."""
-    state = resolve(links, local_links).filter("not looped")
-    pairs = state.select("tree", F.col("node").alias("descendant"), F.size("path").alias("n"), F.posexplode("path").alias("at", "ancestor"))
-    return pairs.filter("at < n - 1").select("tree", "ancestor", "descendant", (F.col("n") - 1 - F.col("at")).alias("distance"))
+    """(tree, ancestor, descendant, distance) of every node below each sound node, looped ones included.
+
+    Each pair comes once, at its least distance; 1 is a child.
+    """
+    peeled_off = _peel(links, local_links)
+    return _pairs(peeled_off, _resolved(peeled_off, local_links, False), local_links)
+
+
+def _pairs(peeled_off: tuple[list[DataFrame], DataFrame, int], looped: DataFrame, local_links: int) -> DataFrame:
+    """The pairs of ``descendants``: first over the links left over, then handed down over each round's links."""
+    rounds, left, n = peeled_off
+    bad = cut(looped.select("tree", F.col("node").alias("parent")))
+    first = lambda own: own.join(bad, ["tree", "parent"], "left_anti").select("tree", F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("distance"))
+    if n <= local_links:
+        marked = left.join(bad.withColumn("bad", F.lit(True)), ["tree", "parent"], "left").select("tree", "child", "parent", F.col("bad").isNull().alias("sound"))
+        pairs = cut(marked.repartition(1).mapInPandas(_below, "tree string, ancestor long, descendant long, distance int"))
+    else:
+        pairs = front = cut(first(left))
+        while not front.isEmpty():
+            heard = _handed(left, front).distinct()
+            front = cut(heard.join(pairs.select("tree", "ancestor", "descendant"), ["tree", "ancestor", "descendant"], "left_anti"))
+            pairs = cut(pairs.unionByName(front))
+    for peeled in reversed(rounds):
+        every = first(peeled).unionByName(_handed(peeled, pairs))
+        # A child's links all go in one round, so no pair comes in two.
+        pairs = cut(pairs.unionByName(every.groupBy("tree", "ancestor", "descendant").agg(F.min("distance").alias("distance"))))
+    return pairs
+
+
+def _handed(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of the links' parents, one step longer, for their children."""
+    above = pairs.select("tree", "ancestor", F.col("descendant").alias("parent"), "distance")
+    return links.join(above, ["tree", "parent"]).select("tree", "ancestor", F.col("child").alias("descendant"), (F.col("distance") + 1).alias("distance"))

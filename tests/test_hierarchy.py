@@ -57,6 +57,25 @@ def test_hierarchy_columns(spark, rows):
     assert rows(hierarchy.descendants(df)) == [("a", 1, 2, 1), ("a", 1, 3, 2), ("a", 1, 4, 2), ("a", 2, 3, 1), ("a", 2, 4, 1)]
 
 
+@pytest.mark.parametrize("seed, local", [(0, 0), (1, 30), (2, 1000)])
+def test_descendants_by_any_chain(spark, rows, seed, local):
+    rnd = random.Random(seed)
+    links = [("ab"[c % 2], c, rnd.randrange(max(1, c // 2 - 3), c)) for c in range(2, 40)] + [("a", c, rnd.randrange(1, c)) for c in range(10, 30, 4)]
+    links += [("a", 70, 71), ("a", 71, 72), ("a", 72, 70), ("a", 73, 72), ("a", 74, 73), ("a", 74, 2), ("a", 72, 1), ("b", 5, 5)]
+    looped = {k for k, path in brute(links).items() if path is None}
+    want = []
+    for tree, top in {(t, p) for t, _, p in links} - looped:
+        seen, front, distance = {top}, {top}, 0
+        while front:
+            front, distance = {c for t, c, p in links if t == tree and p in front} - seen, distance + 1
+            seen |= front
+            want += [(tree, top, c, distance) for c in front]
+    df = spark.createDataFrame(links, LINKS)
+    assert rows(hierarchy.descendants(df, local)) == sorted(want)
+    sizes = {(r.tree, r.node): r.subtree_size for r in hierarchy.hierarchy(df, local).collect() if not r.looped}
+    assert sizes == {k: 1 + sum(w[:2] == k for w in want) for k in sizes}
+
+
 def test_directions_spellings_nulls_and_repeats(spark, rows):
     edges = spark.createDataFrame([(1, 10, 20, "contains"), (1, 10, 20, " CONTAINS "), (2, 30, 40, "Inherits"), (3, None, 5, "contains"), (4, 5, 6, "calls"), (5, 7, None, "inherits"), (6, 1, 2, None)], EDGES)
     assert rows(hierarchy.graph_links(edges)) == [("contains", 20, 10), ("inherits", 30, 40)]
