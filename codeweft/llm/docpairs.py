@@ -345,7 +345,6 @@ def source_pairs(documents: DataFrame) -> DataFrame:
     Any text is lexed; what has no functions gives no rows.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    heads = r"\b(def|func|fn|fun|function)\s|\)[^;\n]{0,80}\{"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -357,6 +356,6 @@ def source_pairs(documents: DataFrame) -> DataFrame:
             types = [b.schema.field("doc_id").type, pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "place", "name", "signature", "docstring"])
 
-    # A text without a head has no functions; the JVM tells most of them before Python sees them.
-    own = documents.select("doc_id", "text").filter(F.col("text").rlike(heads))
+    # Only a brace or a colon opens a body, so a text with neither has no functions.
+    own = documents.select("doc_id", "text").filter(F.col("text").rlike("[{:]"))
     return own.mapInArrow(run, f"doc_id {kind}, place int, name string, signature string, docstring string")

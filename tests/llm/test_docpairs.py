@@ -79,3 +79,16 @@ def test_nodes_and_documents(spark):
     assert documented(df.limit(0)).count() == 0
     docs = spark.createDataFrame([(1, "/** Never blocks. */\nfunction f(a) {\n}\n/** f */\nfunction f() {}", "x"), (2, None, "x"), (3, "", "x"), (4, "no code here", "x")], "doc_id long, text string, name string")
     assert [(r.doc_id, r.name, r.docstring) for r in source_pairs(docs).collect()] == [(1, "f", "Never blocks.")]
+
+
+def test_every_head_of_the_lexer_reaches_it(spark):
+    texts = [
+        "/** Adds without a carry. */\nint Add(int a)\n{\n    return a;\n}\n",
+        "/** Never blocks. */\nvoid run(int a) throws " + ", ".join(f"SomeLongNamedException{i}" for i in range(6)) + " {\n}\n",
+        "# Never blocks.\nsub run {\n}\n",
+        "/** Never blocks. */\nfun/**/ction run {\n}\n",
+    ]
+    wanted = [(i, f.name) for i, t in enumerate(texts) for f in extract(t)]
+    assert {i for i, _ in wanted} == set(range(len(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.name) for r in source_pairs(docs).collect()) == wanted
