@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -81,17 +82,20 @@ def _local(batches):
     yield pd.DataFrame(out, columns=["id", "component"])
 
 
-def components(links: DataFrame, local_links: int = LOCAL_LINKS, rounds: int = 200) -> DataFrame:
+def components(links: DataFrame, local_links: int = LOCAL_LINKS, rounds: int | None = None) -> DataFrame:
     """(id, component) of every node in a strongly connected component of two or more; named by the lowest id.
 
     Links that can't lie on a cycle are trimmed in distributed rounds. If few are left (counted), one task finishes; else
-    the lowest id that reaches a node spreads forward, components are what the lowest ids reach back, and the rest goes on.
+    the lowest id that reaches a node spreads forward, components are what the lowest ids reach back, and the rest goes on
+    until none is left. A rest after ``rounds`` distributed rounds, if given, is an error.
     """
     left, n = _trim(links, local_links)
     if n <= local_links:
         return left.repartition(1).mapInPandas(_local, "id long, component long")
     found: DataFrame | None = None
-    for _ in range(rounds):
+    for turn in count():
+        if turn == rounds:
+            raise ValueError(f"components unresolved after {rounds} rounds")
         ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         color = cut(ids.select("id", F.col("id").alias("low")))
         while True:  # forward: the lowest id that reaches each node

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,12 +82,13 @@ def _finish(_: tuple, links: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": list(tag), "tags": list(tag.values())})
 
 
-def inherited(nodes: DataFrame, edges: DataFrame, rounds: int = 200, local_links: int = LOCAL_LINKS) -> DataFrame:
+def inherited(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(id, tags) after every node has taken the roles of what it inherits from or implements, until none changes.
 
     Roles only spread, so loops end. Nodes without such a link are left alone. Up to ``local_links`` links (counted) are
     finished by one task; beyond, rounds are distributed: in each only children of nodes that changed in the last one are
-    looked at, and the roles of all parents of a node are merged in one grouping; ``rounds`` bounds the longest chain.
+    looked at, and the roles of all parents of a node are merged in one grouping. Chains may be of any length; roles that
+    still spread after ``rounds`` distributed rounds, if given, are an error.
     """
     links = edges.filter(F.col("edge_type").isin("inherits", "implements") & F.col("from_id").isNotNull() & F.col("to_id").isNotNull())
     links = cut(links.select(F.col("from_id").alias("id"), F.col("to_id").alias("parent")).distinct())
@@ -99,7 +102,9 @@ def inherited(nodes: DataFrame, edges: DataFrame, rounds: int = 200, local_links
         done = links.groupBy(one).cogroup(state.groupBy(one)).applyInPandas(_finish, "id long, tags array<string>")
         return aside.unionByName(done)
     changed = state
-    for _ in range(rounds):
+    for turn in count():
+        if turn == rounds:
+            raise ValueError(f"roles still spread after {rounds} rounds")
         sent = links.join(changed.select(F.col("id").alias("parent"), F.filter("tags", lambda t: t.startswith("role:")).alias("roles")), "parent")
         heard = sent.filter(F.size("roles") > 0).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("roles")))).alias("roles"))
         new = state.join(heard, "id", "left").withColumn("_new", F.when(F.col("roles").isNotNull(), merge_roles(F.col("tags"), F.col("roles"))).otherwise(F.col("tags")))

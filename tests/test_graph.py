@@ -217,3 +217,15 @@ def test_impact_paths_run_through_unknown_ids_and_odd_names(spark, tmp_path):
     calls(spark, (2, 1), (3, 2), (4, 1)).write.parquet(f"{tmp_path}/edges.parquet")
     got = {r.id: (r.distance, r.impact_path) for r in graph.impact_paths(spark, str(tmp_path)).collect()}
     assert got == {1: (0, "n1"), 3: (2, "n3 -> n1"), 4: (1, "a -> b -> n1")}
+
+
+def test_a_bound_that_is_hit_is_an_error(spark, rows):
+    n = nodes_of(spark, {"id": 0, "tags": ["role:service"]}, *[{"id": i, "tags": []} for i in range(1, 6)])
+    e = edges_of(spark, *[(i, i - 1, "inherits") for i in range(1, 6)])
+    with pytest.raises(ValueError):
+        roles.inherited(n, e, rounds=2, local_links=0)
+    assert {tuple(r.tags) for r in roles.inherited(n, e, local_links=0).collect()} == {("role:service",)}
+    links = cycles.dependency_links(calls(spark, (1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (4, 5), (5, 6), (6, 5)))
+    with pytest.raises(ValueError):
+        cycles.components(links, 0, rounds=1)
+    assert rows(cycles.components(links, 0)) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)]
