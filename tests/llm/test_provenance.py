@@ -1,4 +1,6 @@
+import itertools
 import math
+import random
 
 import pytest
 
@@ -54,13 +56,20 @@ def test_evidence(spark):
     assert [got[i].label for i in range(len(CASES))] == [x for _, x in CASES]
 
 
-def test_siblings_move_the_probability_but_not_the_label(spark):
-    alone = {"file_path": "/p/a/x.ts"}
-    among = [{"file_path": f"/p/b/g{i}.gen.ts"} for i in range(30)]
-    got = run(spark, alone, {"file_path": "/p/b/x.ts"}, *among)
-    assert got[0].label == got[1].label == "handwritten" and got[1].probability < got[0].probability
-    with pytest.raises(ValueError):
-        Model(prior=0.5)
+def test_only_the_tree_tells_equal_rows_apart(spark):
+    """Middling density alone says nothing; among minified siblings it does. A declared folder labels plain rows below."""
+    odd = {"loc": 100, "cyclomatic": 250}
+    packed = [{"file_path": f"/p/b/g{i}.js", "loc": 2, "cyclomatic": 900} for i in range(12)]
+    hand = [{"file_path": f"/p/{d}/g{i}.{e}"} for d, e in (("c", "js"), ("b", "ts")) for i in range(12)]
+    got = run(spark, odd | {"file_path": "/p/c/x.js"}, odd | {"file_path": "/p/b/x.js"}, odd | {"file_path": "/p/b/x.ts"}, {"file_path": "/p/vendor/deep/er/x.js"}, {"file_path": "/p/vendored/x.js"}, *packed, *hand)
+    assert [got[i].label for i in range(5)] == ["handwritten", "minified", "handwritten", "vendored", "handwritten"]
+    assert all(got[i].label == "handwritten" for i in range(17, 41))
+
+
+def test_siblings_do_not_turn_a_plain_row(spark):
+    among = [{"file_path": f"/p/b/g{i}.gen.ts"} for i in range(4)]
+    got = run(spark, {"file_path": "/p/a/x.ts"}, {"file_path": "/p/b/x.ts"}, *among, {"file_path": "/p/vendor/y.ts"}, {"file_path": "/p/z.ts"})
+    assert got[0].label == got[1].label == got[7].label == "handwritten" and got[1].probability < got[0].probability
 
 
 def test_current_rows_count(spark):
@@ -69,28 +78,36 @@ def test_current_rows_count(spark):
     assert run(spark) == {}
 
 
-def test_propagation_is_exact_on_a_small_tree(spark):
-    """Against the sum over all labellings of the directories and files."""
-    import itertools
+def test_partitions_are_stitched_exactly(spark):
+    """Many small partitions against one; a directory with a third of all files spans several."""
+    rnd = random.Random(4)
+    paths = [f"/r/hot/f{i}.{rnd.choice(['js', 'ts'])}" for i in range(100)] + ["/r/" + "/".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 6))) + f"/f{i}.{rnd.choice(['js', 'ts', 'min.js'])}" for i in range(200)] + ["x.js", "", "/", "a//b.js"]
+    rows = rows_of(*[{"file_path": p, "loc": 100, "cyclomatic": rnd.choice([9, 150, 300, 900, None]), "is_generated": rnd.random() < 0.1} for p in paths])
+    df, known = spark.createDataFrame(rows, KIND), spark.createDataFrame([], "checksum string")
+    whole, parts = ({r.node_id: (r.label, r.probability) for r in labelled(df, known, files_per_task=n).collect()} for n in (1000, 7))
+    assert {k: v[0] for k, v in whole.items()} == {k: v[0] for k, v in parts.items()} and len(whole) == len(paths)
+    assert all(v[1] == pytest.approx(parts[k][1], abs=2e-6) for k, v in whole.items())
 
+
+def test_propagation_is_exact_on_a_small_tree(spark):
+    """Against the sum over all labellings of directories, groups and files."""
     m = Model()
-    paths = ["/r/a/x.gen.ts", "/r/a/y.ts", "/r/z.ts"]
-    got = run(spark, *[{"file_path": p} for p in paths])
-    dirs = ["", "/r", "/r/a"]
-    up = {"/r": "", "/r/a": "/r"}
-    rest = (1 - m.prior) / 4
-    other = (1 - m.same) / 4
-    joint = [dict.fromkeys(LABELS, 0.0) for _ in paths]
-    for d in itertools.product(LABELS, repeat=3):
-        at = dict(zip(dirs, d))
-        tree = math.prod(m.same if at[c] == at[p] else other for c, p in up.items())
-        for f in itertools.product(LABELS, repeat=3):
-            w = tree
-            for path, x in zip(paths, f):
-                own = (math.exp(-m.sure) if x == "handwritten" else 1.0 if x == "generated" else rest) if ".gen." in path else (m.prior if x == "handwritten" else rest)
-                w *= own * (m.same if x == at[path.rsplit("/", 1)[0]] else other)
+    rows = [{"file_path": "/r/a/x.js", "loc": 100, "cyclomatic": 900}, {"file_path": "/r/a/y.js"}, {"file_path": "/r/z.js", "loc": None}]
+    got = run(spark, *rows)
+    own = [[0, 0, 2 * math.log2(9), 0, 0], [-x for x in m.looks], [-x / 2 for x in m.looks]]
+    up = {"": None, "/r": "", "/r/a": "/r", "g1": "/r/a", "g2": "/r"}
+    group = ["g1", "g1", "g2"]
+    files, folders = m.files(), m.folders()
+    joint = [[0.0] * 5 for _ in rows]
+    names = list(up)
+    for d in itertools.product(range(5), repeat=len(names)):
+        at = dict(zip(names, d))
+        tree = math.prod(math.exp(folders[0 if p is None else at[p], at[c]]) for c, p in up.items())
+        if not tree:
+            continue
+        for f in itertools.product(range(5), repeat=3):
+            w = tree * math.prod(math.exp(own[i][x] + files[at[group[i]], x]) for i, x in enumerate(f))
             for i, x in enumerate(f):
                 joint[i][x] += w
     for i, j in enumerate(joint):
-        best = max(j, key=j.get)
-        assert got[i].label == best and got[i].probability == pytest.approx(j[best] / sum(j.values()), abs=2e-6)
+        assert got[i].label == LABELS[j.index(max(j))] and got[i].probability == pytest.approx(max(j) / sum(j), abs=2e-6)
