@@ -101,15 +101,15 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id) of documents that running sentences make up most of."""
+    """(doc_id) of documents that running sentences make up most of: those that lie out less among prose than among the rest."""
     return _scores(spark, d).filter(quality.natural()).select("doc_id")
 
 
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """Every document's statistics, its places in its language, and its outlier score."""
+    """Every document's statistics, its places in its language, and its outlier scores."""
     scores = _scores(spark, d)
     grid = [(F.col(s) / g).alias(s) for s, g in quality.STATISTICS.items()]
-    return scores.select("doc_id", "lang_found", "n_words", *grid, *[F.round(f"low_{s}", 6).alias(f"low_{s}") for s in quality.STATISTICS], "outlier_score")
+    return scores.select("doc_id", "lang_found", "n_words", *grid, *[F.round(f"low_{s}", 6).alias(f"low_{s}") for s in quality.STATISTICS], "outlier_score", "other_score")
 
 
 QUERIES = {
