@@ -53,7 +53,7 @@ def _documented(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_source_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, place, name, signature, docstring) of the documented functions in all documents' texts."""
-    return docpairs.source_pairs(table(spark, d, "documents", "doc_id", "text"))
+    return docpairs.source_pairs(table(spark, d, "documents", "doc_id", "text", "path"))
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:

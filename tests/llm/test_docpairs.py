@@ -1,6 +1,6 @@
 import pytest
 
-from codeweft.llm.docpairs import documented, extract, plain, says_something, source_of, source_pairs
+from codeweft.llm.docpairs import documented, extract, is_code, plain, says_something, source_of, source_pairs
 
 NAME, SIG = "closeFilePath", "closeFilePath(node: Edge, depth: int): Result"
 
@@ -68,7 +68,47 @@ def test_extraction_survives(text):
 
 
 def test_a_bare_comment_end_stays_inside():
-    assert extract(source_of("f(a)", "Ends with */ inside."))[0].doc.count("*/") == 1
+    source, family = source_of("f(a)", "Ends with */ inside.")
+    assert extract(source, family=family)[0].doc.count("*/") == 1
+
+
+def found(text, path=None):
+    return {f.name: (f.signature, " ".join(x for x in plain(f.doc) if x)) for f in extract(text, path)}
+
+
+def test_each_family_has_its_comments_strings_and_bodies():
+    c = found("#include <x.h>\n#define MAX_RETRIES 5 \\\n  /* more */\nint run(int a)\n{\n    return '}' + a;\n}\n\n/* Adds without a carry. */\nstatic int add(int a)\n{\n}\n")
+    assert c == {"run": ("int run(int a)", ""), "add": ("static int add(int a)", "Adds without a carry.")}
+    py = found("class Foo:\n    def bar(self):\n        'Never blocks.'\n\ndef f(a, b=10 // 3):\n    # inner\n    return {'}': a // b}\n\nasync def g(a,\n      b):\n    pass\n")
+    assert py["bar"] == ("def bar(self)", "'Never blocks.'") and py["f"] == ("def f(a, b=10 // 3)", "") and "g" in py
+    ts = found("/** Never blocks. */\nasync load(key: string): Promise<{a: number}> {\n  return `}${key}`;\n}\n// Runs once.\nconst f = (s) => {\n  g(s);\n};\n// Short.\nexport const h = (x: number): number => x + 1;\nconst o = {\n  // Inner.\n  k() { return 1; },\n};\n")
+    assert ts["load"] == ("async load(key: string): Promise<{a: number}>", "Never blocks.") and ts["f"] == ("const f = (s) =>", "Runs once.") and ts["h"][1] == "Short." and ts["k"][1] == "Inner."
+    rb = found("# Never blocks.\ndef run(a)\n  if a\n    b.each do |x|\n      puts \"#{x} end\"\n    end\n  end\nend\n\n# Twice.\ndef empty?\nend\n")
+    assert rb == {"run": ("def run(a)", "Never blocks."), "empty?": ("def empty?", "Twice.")}
+    text = "-- Never blocks.\nlocal function run(a)\n  if a then\n    return 1\n  end\nend\n-- Not this.\nx = 1\nfunction bare()\nend\n"
+    assert found(text) == {"run": ("local function run(a)", "Never blocks."), "bare": ("function bare()", "")} and text[extract(text)[0].end :].startswith("\n-- Not")
+    rust = found("/// Never blocks.\n#[inline]\npub fn run<'a>(x: &'a str, y: &'a str) -> &'a str {\n    let c = '}';\n    x\n}\n")
+    assert rust["run"][1] == "Never blocks." and rust["run"][0].startswith("pub fn run<'a>")
+    cs = found("/// Never blocks.\n[Pure]\npublic int Run(int a)\n    where T : class\n{\n    return a;\n}\n", "a.cs")
+    assert cs["Run"][1] == "Never blocks."
+    sh = found("#!/bin/bash\n\n# Never blocks.\nrun() {\n  echo ${#x} '}'\n}\n")
+    assert sh == {"run": ("run()", "Never blocks.")}
+
+
+@pytest.mark.parametrize("line", ["return x;", "a.b(c, d)", "x[1].y = f(z)", "if (a) {", "} else {", "const s = 'the end of it'", "for (i = 0; i < n; i++)", "});", "import a.b.c", "print(x)", "self.a += 1", "f(g(h(1, 2)), [3]) {"])
+def test_leftover_code_is_lexed(line):
+    assert is_code(line)
+
+
+@pytest.mark.parametrize("line", ["Never blocks", "Waits for it (or not)", "the end; then more", "Reads a.b and c", "Calls f(x) before the lock", "Import ledger", "if the lock is held", "Keeps x = y while it runs."])
+def test_prose_is_no_code(line):
+    assert not is_code(line)
+
+
+def test_only_the_lexer_pairs():
+    """A remark that belongs to other code, or is parted by a blank line, documents nothing, whatever it says."""
+    assert found("// Never blocks.\n\nfunction f() {\n}\n") == {"f": ("function f()", "")}
+    assert found("x = 1; // Never blocks.\nfunction f() {\n}\n") == {"f": ("function f()", "")}
 
 
 def test_nodes_and_documents(spark):
