@@ -25,7 +25,7 @@ def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """(edge_type, ancestor_id, descendant_id, distance) along the paths of all sound nodes."""
+    """(edge_type, ancestor_id, descendant_id, distance) of what hangs below every sound node, by any chain."""
     x = hierarchy.descendants(hierarchy.graph_links(table(spark, d, "edges", "from_id", "to_id", "edge_type")))
     return x.select(F.col("tree").alias("edge_type"), F.col("ancestor").alias("ancestor_id"), F.col("descendant").alias("descendant_id"), "distance")
 
@@ -97,8 +97,9 @@ _PATHS = """canon as (select l.tree, child, min(l.parent) parent from links l wh
   paths as (select distinct tree, parent node, cast(null as bigint) parent, parent root, 0 depth, cast(parent as varchar) path from links
       where (tree, parent) not in (select (tree, child) from links)
     union all select c.tree, c.child, c.parent, p.root, p.depth + 1, p.path || '/' || c.child from paths p join canon c on c.tree = p.tree and c.parent = p.node),
-  pairs as (select tree, parent ancestor, child descendant, 1 distance from canon
-    union all select p.tree, c.parent, p.descendant, p.distance + 1 from pairs p join canon c on c.tree = p.tree and c.child = p.ancestor)"""
+  reach as (select tree, parent ancestor, child descendant, 1 distance from links where (tree, parent) not in (select (tree, node) from bad)
+    union select r.tree, r.ancestor, l.child, r.distance + 1 from reach r join links l on l.tree = r.tree and l.parent = r.descendant where r.distance < 300),
+  pairs as (select tree, ancestor, descendant, min(distance) distance from reach group by all)"""
 _CALLS = "select to_id, count(distinct id) calls from edges where lower(trim(edge_type)) = 'calls' and to_id is not null group by to_id"
 _ORPHANS = f"""refs as (
     select 'edges' table_name, 'from_id' ref_field, id row_id, indexed_at ts from edges where from_id is not null and from_id not in (select id from nodes where id is not null)
