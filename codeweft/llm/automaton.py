@@ -1,11 +1,15 @@
-"""A byte-pair encoder as a deterministic automaton over tokens.
+"""A byte-pair encoder as a deterministic automaton.
 
-Arcs are labelled with tokens, so a walk spells a text and its labels are the encoding. The automaton starts with one
+Its arcs are labelled with tokens, so a walk spells a text and its labels are the encoding. The automaton starts with one
 state and the single bytes. Each merge (u, v), in order of rank, puts a gadget into it: where an arc u is followed by an
 arc v, an arc uv is added beside them and v is no longer allowed after u; the state behind the new arc copies the one
 behind v. Unrolled for a state t and a label w, the gadgets give the rule in ``allowed``: the later made of both says from
-which earlier pair the arc came, so each step goes one merge down. A string has exactly one walk, which is its encoding
-by merges. States are made on first use and their arcs kept in one table, since most pairs of tokens never meet.
+which earlier pair the arc came, so each step goes one merge down.
+
+A text is read byte by byte over two tables. ``moves`` holds the transition of each suffix state (the longest end of what
+was read that starts a token) by each byte; ``arcs`` says which token may follow which. Of the tokens that end at a byte,
+exactly one may follow the last token of what lies before it, so the last token of every prefix is known once its byte
+is read and nothing is ever taken back. Both tables are filled on first use, since most pairs of tokens never meet.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections.abc import Iterable
 
 import regex
 
-START, TOKEN = -1, -1
+START = -1
 #: Above every rank: all merges hold.
 FINAL = 1 << 60
 #: Kept arcs of the table; beyond that it is emptied, so memory has a bound.
@@ -46,12 +50,22 @@ class Automaton:
     def __init__(self, ranks: dict[bytes, int], pattern: str | None = None, keep: int = 200_000):
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
-        self.trie: dict = {}
+        self.next: list[dict[int, int]] = [{}]  # suffix states: the tokens' prefixes, 0 is empty
+        self.above: list[tuple[int, int]] = [(0, 0)]  # the state one byte shorter, and that byte
+        self.own: dict[int, int] = {}  # the token that a state spells
         for token, rank in ranks.items():
-            node = self.trie
-            for b in token:
-                node = node.setdefault(b, {})
-            node[TOKEN] = rank
+            at = 0
+            for x in token:
+                to = self.next[at].get(x)
+                if to is None:
+                    to = self.next[at][x] = len(self.next)
+                    self.next.append({})
+                    self.above.append((at, x))
+                at = to
+            self.own[at] = rank
+        self.moves: dict[int, int] = {}
+        self.shorter: dict[int, int] = {}
+        self.ends: dict[int, tuple[tuple[int, int], ...]] = {}
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.rank_of_pair: dict[tuple[int, int], int] | None = None
         self.arcs: dict[tuple[int, int], bool] = {}
@@ -72,7 +86,7 @@ class Automaton:
                 continue
             # Before this merge the token's own bytes encode to exactly two tokens: the walk by lower ranks.
             walk = self._walk(token, rank)
-            if walk is not None and len(walk) == 2:
+            if len(walk) == 2:
                 self.parts[rank] = (walk[0], walk[1])
                 self.rank_of_pair[walk[0], walk[1]] = rank
         self.arcs.clear()
@@ -102,58 +116,75 @@ class Automaton:
             else:
                 return True
 
-    def _walk(self, word: bytes, before: int) -> list[int] | None:
-        """The walk that spells ``word`` with tokens of ranks under ``before``: longest arcs first, dead ends kept."""
-        n, final, trie = len(word), before >= FINAL, self.trie
-        arcs, allowed = self.arcs, self.allowed
-        path: list[int] = []
-        open_: list[list[tuple[int, int]]] = []
-        dead: set[tuple[int, int]] = set()
-        i, state = 0, START
-        while i < n:
-            node, found = trie, []
-            for j in range(i, n):
-                node = node.get(word[j])
-                if node is None:
-                    break
-                w = node.get(TOKEN)
-                if w is not None and w < before:
-                    found.append((j + 1, w))
-            open_.append(found)
-            while True:
-                if found:
-                    j, w = found.pop()
-                    if dead and (j, w) in dead:
+    def _move(self, state: int, byte: int) -> int:
+        """The suffix state after one more byte."""
+        key = state << 8 | byte
+        to = self.moves.get(key)
+        if to is None:
+            to = self.next[state].get(byte)
+            if to is None:
+                to = self._move(self._shorter(state), byte) if state else 0
+            self.moves[key] = to
+        return to
+
+    def _shorter(self, state: int) -> int:
+        """The state of the longest proper end of what a state spells."""
+        to = self.shorter.get(state)
+        if to is None:
+            up, byte = self.above[state]
+            to = self.shorter[state] = self._move(self._shorter(up), byte) if up else 0
+        return to
+
+    def _ends(self, state: int) -> tuple[tuple[int, int], ...]:
+        """(rank, length) of the tokens that end where a state does, the longest first."""
+        out = self.ends.get(state)
+        if out is None:
+            own = self.own.get(state)
+            out = ((own, len(self.tokens[own])),) if own is not None else ()
+            out = self.ends[state] = out + (self._ends(self._shorter(state)) if state else ())
+        return out
+
+    def _walk(self, word: bytes, before: int) -> list[int]:
+        """The labels of the walk that spells ``word`` with tokens of ranks under ``before``."""
+        final, arcs, moves, ends = before >= FINAL, self.arcs, self.moves, self.ends
+        last = [START] * (len(word) + 1)  # the last token of each prefix
+        state = i = 0
+        for byte in word:
+            i += 1
+            to = moves.get(state << 8 | byte)
+            state = self._move(state, byte) if to is None else to
+            found = ends.get(state)
+            for w, n in self._ends(state) if found is None else found:
+                if w >= before:
+                    continue
+                t = last[i - n]
+                if t != START:
+                    if final:
+                        ok = arcs.get((t, w))
+                        if ok is None:
+                            ok = arcs[t, w] = self.allowed(t, w, before)
+                    else:
+                        ok = self.allowed(t, w, before)
+                    if not ok:
                         continue
-                    if state != START:
-                        if final:
-                            key = (state, w)
-                            ok = arcs.get(key)
-                            if ok is None:
-                                ok = arcs[key] = allowed(state, w, before)
-                        else:
-                            ok = allowed(state, w, before)
-                        if not ok:
-                            continue
-                    path.append(w)
-                    i, state = j, w
-                    break
-                if not path:
-                    return None
-                open_.pop()
-                found = open_[-1]
-                last = path.pop()
-                dead.add((i, last))
-                i -= len(self.tokens[last])
-                state = path[-1] if path else START
-        return path
+                elif i != n:
+                    continue
+                last[i] = w
+                break
+            else:
+                raise ValueError(f"no walk spells {word[:i]!r}")
+        out = []
+        while i:
+            out.append(last[i])
+            i -= len(self.tokens[last[i]])
+        return out[::-1]
 
     def encode_word(self, word: bytes) -> list[int]:
         """The ids of one pre-split word."""
         own = self.ranks.get(word)
         if own is not None and (len(word) == 1 or self.parts[own] is not None):
             return [own]
-        return self._walk(word, FINAL) or []
+        return self._walk(word, FINAL)
 
     def split(self, text: str) -> list[str]:
         """The words of a text, with the white space and punctuation between them."""
