@@ -56,9 +56,10 @@ def applied(nodes: DataFrame, edges: DataFrame, events: DataFrame, new_nodes: Da
         .select("from_qname", F.col("_name").alias("to_qname"), "edge_type", "dynamic", "call_site_line")
     )
     found = resolved(raw_edges.select("from_qname", "to_qname", "edge_type", "dynamic", "call_site_line").unionByName(again), rows)
-    added = found.select(
-        F.xxhash64("from_id", "to_id", "edge_type", F.coalesce("call_site_line", F.lit(-1))).alias("id"), "from_id", "to_id", "edge_type", "call_site_line", "dynamic"
-    )
+    # Equal edges, such as two calls on one line, are told apart by a number among them.
+    same = ["from_id", "to_id", "edge_type", "call_site_line", "dynamic"]
+    counted = found.groupBy(*same).agg(F.count("*").alias("_n")).select(*same, F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_place"))
+    added = counted.select(F.xxhash64("from_id", "to_id", "edge_type", F.coalesce("call_site_line", F.lit(-1)), "dynamic", "_place").alias("id"), *same)
     every = inner.unionByName(added, allowMissingColumns=True).dropDuplicates(["id"])
     return reconciled(rows, every), every
 

@@ -15,7 +15,7 @@ def by_id(nodes: DataFrame, node_id: int) -> DataFrame:
 
 
 def by_qualified_name(nodes: DataFrame, name: str) -> DataFrame:
-    """Exact, case-sensitive; reaches the scan as a pushed filter."""
+    """Exact, case-sensitive. Over raw rows, ``tables.current_where`` takes the same condition to the scan."""
     return nodes.filter(F.col("qualified_name") == name)
 
 

@@ -26,6 +26,8 @@ HELD = 2_000_000
 #: The referring fields of the graph's tables; a reference carries its field's place here.
 FIELDS = (("edges", "from_id"), ("edges", "to_id"), ("annotations", "node_qname"), ("test_specs", "target_qname"))
 BY_ID, BY_NAME = 0, 1
+#: Parts in which the containers of a range and group from all map tasks are united before they meet.
+PARTS = 32
 PARENT = -1
 
 
@@ -79,6 +81,13 @@ def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _boxes(held)
 
 
+def _merged(table: pa.Table) -> pa.Table:
+    """The containers of one space, range, group and part of the map tasks as one."""
+    bits = _pack(np.flatnonzero(_flags(table.column("bits").to_pylist())))
+    one = table.slice(0, 1)
+    return pa.table([*[one.column(c) for c in ("space", "grp", "range")], pa.array([bits], pa.binary())], names=["space", "grp", "range", "bits"])
+
+
 def _survivors(table: pa.Table) -> pa.Table:
     """One range of one space: the keys of each group that no parent has."""
     by: dict[int, list[bytes]] = {}
@@ -101,13 +110,16 @@ def _survivors(table: pa.Table) -> pa.Table:
 def missing_keys(references: DataFrame, parents: DataFrame) -> DataFrame:
     """(space, grp, key) of references (the same integer columns, grp from 0) without a row in parents (space, key).
 
-    Null keys are no references. A range has at most ``RANGE`` bits a group and map task, whatever the number of rows.
+    Null keys are no references. A range has at most ``RANGE`` bits a group and map task, whatever the number of rows; the
+    containers of many map tasks are united in ``PARTS`` parts first, so a range then gets at most so many a group.
     """
     ints = [F.col("space").cast("int").alias("space"), F.col("grp").cast("int").alias("grp"), F.col("key").cast("long").alias("key")]
     kind = "space int, grp int, range long, bits binary"
     sides = [references, parents.withColumn("grp", F.lit(PARENT))]
     boxes = [s.filter("key is not null").select(*ints).mapInArrow(_containers, kind) for s in sides]
-    return boxes[0].unionByName(boxes[1]).groupBy("space", "range").applyInArrow(_survivors, "space int, grp int, key long")
+    every = boxes[0].unionByName(boxes[1]).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
+    few = every.groupBy("space", "range", "grp", "part").applyInArrow(_merged, "space int, grp int, range long, bits binary")
+    return few.groupBy("space", "range").applyInArrow(_survivors, "space int, grp int, key long")
 
 
 def dictionary(names: DataFrame) -> DataFrame:

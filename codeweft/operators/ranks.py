@@ -16,10 +16,11 @@ def numbered(df: DataFrame, key: str, name: str = "place") -> DataFrame:
     at = df.repartitionByRange(partitions(df.sparkSession), key).sortWithinPartitions(key)
     at = cut(at.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
-    offset, before = {}, 0
+    offsets, before = [], 0
     for row in sorted(at.groupBy(part.alias("part")).count().collect()):
-        offset[row["part"]] = before
+        offsets.append((row["part"], before))
         before += row["count"]
-    shift = F.element_at(F.create_map(*[F.lit(x) for p, o in offset.items() for x in (p, o)]), part) if offset else F.lit(0)
+    shifts = at.sparkSession.createDataFrame(offsets, "_part long, _shift long")
     inner = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return at.withColumn(name, (inner + shift).cast("long")).drop("_at")
+    placed = at.withColumn("_part", part).join(F.broadcast(shifts), "_part")  # one row a partition
+    return placed.withColumn(name, (inner + F.col("_shift")).cast("long")).drop("_at", "_part", "_shift")

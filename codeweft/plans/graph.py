@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.functions.arrays import tags
-from codeweft.functions.names import ascii_fold, canonical, canonical_name, symbol_name
+from codeweft.functions.names import ascii_fold, canonical, canonical_name, folded, symbol_name
 from codeweft.operators import (
     communities, consistency, cycles, deadcode, degree, export, history, ingest, lookup, overview, policies, risk, roles, rules, search, traverse, vectors,
 )
 from codeweft.operators.orphans import epoch
 from codeweft.plans.general import name_sql
-from codeweft.sources.tables import clean_edges, current, current_nodes, table
+from codeweft.sources.tables import clean_edges, current, current_nodes, nodes_of, nodes_where, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,13 +47,22 @@ def N(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return current_nodes(spark, d, *columns)
 
 
-def E(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return clean_edges(spark, d, *columns)
+def E(spark: SparkSession, d: str, *columns: str, where: Column | None = None) -> DataFrame:
+    return clean_edges(spark, d, *columns, where=where)
+
+
+def _or(value: int | None, other: int = -1) -> int:
+    return other if value is None else value
 
 
 def _start(spark: SparkSession, d: str) -> DataFrame:
     """(id): the lowest id that a calls edge goes to."""
-    return E(spark, d, "to_id", "edge_type").filter("edge_type = 'calls'").agg(F.min("to_id").alias("id"))
+    return table(spark, d, "edges", "to_id", "edge_type").filter(folded("edge_type") == "calls").agg(F.min("to_id").alias("id"))
+
+
+def _caller(spark: SparkSession, d: str) -> int:
+    """The lowest id that a calls edge comes from."""
+    return _or(table(spark, d, "edges", "from_id", "edge_type").filter(folded("edge_type") == "calls").agg(F.min("from_id")).first()[0])
 
 
 _START = "(select min(to_id) from e where edge_type = 'calls')"
@@ -64,24 +73,34 @@ _START = "(select min(to_id) from e where edge_type = 'calls')"
 
 @query("select id, qualified_name, symbol_type, language, visibility from cur where symbol_type = 'method' and language = 'typescript' and visibility = 'public'")
 def scan_filter_nodes(spark, d):
-    return lookup.matching(N(spark, d, "qualified_name", "symbol_type", "language", "visibility"), "method", "typescript", "public")
+    own = (F.col("symbol_type") == "method") & (F.col("language") == "typescript") & (F.col("visibility") == "public")
+    return lookup.matching(nodes_where(spark, d, own, "qualified_name", "symbol_type", "language", "visibility"), "method", "typescript", "public")
 
 
 @query("select id, symbol_type from cur where id = (select min(id) from nodes)")
 def point_lookup(spark, d):
     least = table(spark, d, "nodes", "id").agg(F.min("id")).first()[0]
-    return lookup.by_id(N(spark, d, "symbol_type"), least if least is not None else -1)
+    return lookup.by_id(N(spark, d, "symbol_type"), _or(least))
 
 
 @query("select id, qualified_name from cur where qualified_name = (select min(qualified_name) from nodes)")
 def name_lookup(spark, d):
-    return lookup.by_qualified_name(N(spark, d, "qualified_name"), table(spark, d, "nodes", "qualified_name").agg(F.min("qualified_name")).first()[0] or "")
+    name = table(spark, d, "nodes", "qualified_name").agg(F.min("qualified_name")).first()[0] or ""
+    return lookup.by_qualified_name(nodes_where(spark, d, F.col("qualified_name") == name, "qualified_name"), name)
 
 
 @query("select id, symbol_name from cur where lower(symbol_name) = (select lower(min(symbol_name)) from nodes where symbol_type = 'class')")
 def name_lookup_nocase(spark, d):
     name = table(spark, d, "nodes", "symbol_name", "symbol_type").filter("symbol_type = 'class'").agg(F.min("symbol_name")).first()[0]
-    return lookup.by_symbol_name(N(spark, d, "symbol_name"), (name or "").upper())
+    name = (name or "").upper()
+    return lookup.by_symbol_name(nodes_where(spark, d, ascii_fold("symbol_name") == ascii_fold(F.lit(name)), "symbol_name"), name)
+
+
+@query("select id, qualified_name, start_line from cur where file_path = (select min(file_path) from nodes where symbol_type = 'class')")
+def file_lookup(spark, d):
+    """(id, qualified_name, start_line) of the symbols of one file."""
+    path = table(spark, d, "nodes", "file_path", "symbol_type").filter("symbol_type = 'class'").agg(F.min("file_path")).first()[0] or ""
+    return lookup.by_file(nodes_where(spark, d, F.col("file_path") == path, "qualified_name", "start_line", "file_path"), path).drop("file_path")
 
 
 @query("select distinct file_path from cur")
@@ -91,7 +110,8 @@ def distinct_files(spark, d):
 
 @query("select id, from_id, to_id, edge_type from e where edge_type in ('inherits', 'implements')")
 def edge_type_scan(spark, d):
-    return lookup.edges_of_types(E(spark, d, "from_id", "to_id", "edge_type"), ["inherits", "implements"])
+    kinds = ["inherits", "implements"]
+    return lookup.edges_of_types(E(spark, d, "from_id", "to_id", "edge_type", where=F.col("edge_type").isin(*kinds)), kinds)
 
 
 @query("select id, loc from cur where loc >= 100")
@@ -116,19 +136,23 @@ def structured_results(spark, d):
 
 @query(f"select n.qualified_name, e.call_site_line, e.edge_type from e left join cur n on n.id = e.from_id where e.to_id = {_START}")
 def callers(spark, d):
-    return lookup.neighbours(N(spark, d, "qualified_name"), E(spark, d, "from_id", "to_id", "edge_type", "call_site_line"), _start(spark, d).first()[0] or -1, True)
+    own = _or(_start(spark, d).first()[0])
+    near = E(spark, d, "from_id", "to_id", "edge_type", "call_site_line", where=F.col("to_id") == own)
+    return lookup.neighbours(nodes_of(spark, d, near.select(F.col("from_id").alias("id")), "qualified_name"), near, own, True)
 
 
 @query("select n.qualified_name, e.call_site_line, e.edge_type from e left join cur n on n.id = e.to_id where e.from_id = (select min(from_id) from e where edge_type = 'calls')")
 def callees(spark, d):
-    edges = E(spark, d, "from_id", "to_id", "edge_type", "call_site_line")
-    least = edges.filter("edge_type = 'calls'").agg(F.min("from_id")).first()[0]
-    return lookup.neighbours(N(spark, d, "qualified_name"), edges, least or -1, False)
+    own = _caller(spark, d)
+    near = E(spark, d, "from_id", "to_id", "edge_type", "call_site_line", where=F.col("from_id") == own)
+    return lookup.neighbours(nodes_of(spark, d, near.select(F.col("to_id").alias("id")), "qualified_name"), near, own, False)
 
 
 @query(f"select n.qualified_name from e join cur n on n.id = e.from_id where e.to_id = {_START} and (lower(n.file_path) like '%test%' or lower(n.file_path) like '%spec%')")
 def test_callers(spark, d):
-    return lookup.test_callers(N(spark, d, "qualified_name", "file_path"), E(spark, d, "from_id", "to_id"), _start(spark, d).first()[0] or -1)
+    own = _or(_start(spark, d).first()[0])
+    near = E(spark, d, "from_id", "to_id", where=F.col("to_id") == own)
+    return lookup.test_callers(nodes_of(spark, d, near.select(F.col("from_id").alias("id")), "qualified_name", "file_path"), near, own)
 
 
 _FANS = """fans as (select id, cast(count(*) filter (t = 'calls' and inward) as integer) fan_in, cast(count(*) filter (t = 'calls' and not inward) as integer) fan_out,
@@ -245,11 +269,11 @@ def impact_bfs(spark, d):
 
 @query(
     "," + _WALK.format(start=_START, own="to_id", other="from_id", depth=3)
-    + """, best as (select r.id, r.distance, cast(r.id as varchar) ids, c.qualified_name impact_path from reached r join cur c on c.id = r.id where r.distance = 0 union all
-      select r.id, r.distance, b.ids || ',' || r.id, c.qualified_name || ' -> ' || b.impact_path from best b join (
+    + """, best as (select r.id, r.distance, cast(r.id as varchar) ids, concat_ws(' -> ', c.qualified_name) impact_path from reached r left join cur c on c.id = r.id where r.distance = 0 union all
+      select r.id, r.distance, b.ids || ',' || r.id, concat_ws(' -> ', c.qualified_name, b.impact_path) from best b join (
         select r.id, r.distance, min(e.to_id) parent from reached r join e on e.from_id = r.id join reached p on p.id = e.to_id and p.distance = r.distance - 1 group by all) r
         on r.parent = cast(list_extract(string_split(b.ids, ','), -1) as bigint) and r.distance = b.distance + 1 left join cur c on c.id = r.id)
-      select id, distance, impact_path from best where impact_path is not null""",
+      select b.id, distance, impact_path from best b join cur c on c.id = b.id""",
     recursive=True,
 )
 def impact_paths(spark, d):
@@ -489,7 +513,7 @@ def retag_changes(spark, d):
 
 @query(""", h as (select id, qualified_name, unnest(history) c from cur), f as (select c.hash hash, min_by(c, id) c, count(*) n_symbols from h where c.hash is not null group by c.hash),
   top as (select hash, c, n_symbols from f order by try_cast(c.date as timestamptz) desc nulls last, hash limit 20)
-  select hash, c.message message, c.author author, c.date date, n_symbols, (select array_to_string(list_sort(list(q))[1:100], ',') from (select distinct qualified_name q from h where h.c.hash = top.hash)) symbols from top""")
+  select hash, c.message message, c.author author, c.date date, n_symbols, (select array_to_string(list_sort(list(q)), ',') from (select distinct qualified_name q from h where h.c.hash = top.hash)) symbols from top""")
 def recent_changes(spark, d):
     own = history.recent_changes(N(spark, d, "qualified_name", "history"), 20)
     return own.withColumn("symbols", F.array_join("symbols", ","))
@@ -519,8 +543,8 @@ def history_limit5(spark, d):
     return history.file_histories(_log(spark, d)).withColumn("history", F.array_join("history", ","))
 
 
-@query("""select * from (select distinct on (id) id, node_qname, kind, body, author, created_at, strftime(make_timestamp(created_at * 1000000), '%Y-%m-%d') "day", commit_hash
-  from annotations where created_at < 100000000000 order by id) order by created_at desc nulls last, id limit 50""")
+@query("""select id, node_qname, kind, body, author, cast(floor(ms / 1000) as bigint) created_at, strftime(make_timestamp(cast(ms * 1000 as bigint)), '%Y-%m-%d') "day", commit_hash
+  from (select distinct on (id) *, case when abs(created_at) >= 100000000000 then created_at else created_at * 1000 end ms from annotations order by id) order by ms desc nulls last, id limit 50""")
 def newest_annotations(spark, d):
     return history.annotations(table(spark, d, "annotations").dropDuplicates(["id"]), limit=50)
 

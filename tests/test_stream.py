@@ -1,4 +1,7 @@
-from datetime import datetime
+import random
+from datetime import UTC, datetime
+
+from pyspark.sql import functions as F
 
 from codeweft.streaming import changes
 
@@ -24,6 +27,56 @@ def test_bursts_and_filters(spark):
     own = changes.wanted(df, ["ts"])
     assert own.count() == 120
     assert [(r.events, r.flushes) for r in changes.bursts(df).orderBy("started").collect()] in ([(60, 2), (60, 2), (2, 1)], [(120, 3), (2, 1)])
+    assert changes.bursts(df.limit(0)).count() == 0 and changes.bursts(df.withColumn("ts", F.lit(None).cast("timestamp_ntz"))).count() == 0
+
+
+def test_bursts_across_partitions(spark):
+    rnd, t, rows = random.Random(2), 0.0, []
+    for _ in range(400):
+        t += rnd.choice([0, 0.1, 0.3, 0.9, 1, 1.5])
+        rows.append(datetime.fromtimestamp(t, UTC).replace(tzinfo=None))
+    want, run = [], [rows[0]]
+    for x in rows[1:]:
+        if (x - run[-1]).total_seconds() < 1:
+            run.append(x)
+        else:
+            want.append((run[0], len(run)))
+            run = [x]
+    want.append((run[0], len(run)))
+    df = spark.createDataFrame([("ADD", "/x", "c", x) for x in rnd.sample(rows, len(rows))], changes.CHANGES)
+    got = [(r.started, r.events) for r in changes.bursts(df).withColumn("started", F.col("started").cast("timestamp_ntz")).orderBy("started").collect()]
+    assert got == want
+
+
+def test_bursts_on_a_stream(spark, tmp_path):
+    write(spark, tmp_path / "in", "p.parquet", [("ADD", "/x", "c", at(1)), ("ADD", "/y", "c", at(1)), ("ADD", "/z", "c", at(40))])
+    stream = changes.read_changes(spark, f"{tmp_path}/in/*.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 seconds")
+    out = changes.bursts(stream).writeStream.format("memory").queryName("runs").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    assert [(r.events, r.flushes) for r in spark.table("runs").collect()] == [(2, 1)]
+
+
+def test_a_failed_batch_is_not_lost(spark, tmp_path):
+    """Without a full sync the events of a batch that failed once are applied with the next; the watermark outlives the handler."""
+    kind = "id long, qualified_name string, file_path string, symbol_type string, version long, fan_in int, fan_out int, fan_in_dynamic int, fan_out_dynamic int"
+    nodes = spark.createDataFrame([(i, f"/{c}.ts#f", f"/{c}.ts", "function", 1, 0, 0, 0, 0) for i, c in enumerate("abc")], kind)
+    store = changes.Store(spark, str(tmp_path / "store"))
+    store.write(0, nodes=nodes, edges=spark.createDataFrame([], "id long, from_id long, to_id long, edge_type string, call_site_line int, dynamic boolean"))
+    raw = spark.createDataFrame([], "from_qname string, to_qname string, edge_type string, dynamic boolean, call_site_line int")
+    calls = []
+
+    def parsed(events):
+        calls.append(events.count())
+        if len(calls) == 1:
+            raise RuntimeError
+        return nodes.limit(0), raw
+
+    handle = changes.Applier(store, parsed)
+    handle(spark.createDataFrame([("DELETE", "/a.ts", "c1", at(1))], changes.CHANGES), 0)
+    assert handle.done_commit is None and store.versions() == [0]
+    changes.Applier(store, parsed)(spark.createDataFrame([("DELETE", "/b.ts", "c2", at(2))], changes.CHANGES), 1)
+    assert calls == [1, 2] and [r.file_path for r in store.read("nodes").collect()] == ["/c.ts"]
+    assert changes.Applier(store, parsed).done_commit == "c2" and store.pending() is None
 
 
 def test_applier_failures_and_repeats(spark, tmp_path):
