@@ -1,6 +1,7 @@
 """Items that appear together: counts of pairs over baskets against what chance would give.
 
-Items are deduplicated per basket, ordered pairs are emitted inside the basket, counts are combined on the map side and
+Items become integers in their own order first, so rows and pairs travel as numbers and are decoded at the end. They are
+deduplicated per basket, ordered pairs are emitted inside the basket, counts are combined on the map side and
 held against the marginals. Pairs of a basket are emitted from blocks of at most ``block`` items: a basket of many items
 becomes many pairs of blocks that spread over tasks, so no task holds a large basket's pairs.
 
@@ -13,17 +14,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.operators.ranks import numbered
 from codeweft.session import cut, small
 
 #: Items of a block; a block pairs with another in at most this many squared pairs.
 BLOCK = 64
 
 
-def _baskets(df: DataFrame, basket: str, item: Column | str) -> DataFrame:
-    """Distinct (basket, item) without nulls and blanks."""
+def _coded(df: DataFrame, basket: str, item: Column | str) -> tuple[DataFrame, DataFrame, int]:
+    """Distinct (basket, item) with items as integers in their own order, without nulls and blanks; (item, code); codes."""
     item = F.col(item) if isinstance(item, str) else item
-    own = df.select(F.col(basket).alias("basket"), item.alias("item"))
-    return own.filter("basket is not null and item is not null and item <> ''").distinct()
+    own = df.select(F.col(basket).alias("basket"), item.alias("item")).filter("basket is not null and item is not null and item <> ''")
+    codes = cut(numbered(own.select("item").distinct(), "item", "code"))
+    n = codes.count()
+    return own.join(small(codes, n), "item").select("basket", F.col("code").alias("item")).distinct(), codes, n
 
 
 def _blocks(items: DataFrame, block: int) -> DataFrame:
@@ -59,17 +63,24 @@ def cooccurrence(
     count once; rows with a null basket, a null or an empty item make no pair. lift is n_ab * n / (n_a * n_b), pmi its
     base-2 logarithm. An empty table gives no rows.
     """
-    own = cut(_baskets(df, basket, item))
+    own, codes, n_codes = _coded(df, basket, item)
+    own = cut(own)
     baskets = df.select(F.col(basket).alias("basket")).filter("basket is not null").distinct().agg(F.count("*").alias("n"))
     n = baskets.first()["n"]
     num, den = min_share
     least = max(min_count, -(-num * n // den), 1)
     counts = own.groupBy("item").agg(F.count("*").alias("n_item"))
     if least > 1:
-        counts = cut(counts.filter(F.col("n_item") >= least))
-        own = own.join(small(counts.select("item"), counts.count()), "item", "left_semi")
-    found = _pairs(_blocks(own, block)).groupBy("item_a", "item_b").agg(F.count("*").alias("n_ab")).filter(F.col("n_ab") >= least)
-    for side in "ab":
-        found = found.join(counts.select(F.col("item").alias(f"item_{side}"), F.col("n_item").alias(f"n_{side}")), f"item_{side}")
+        counts = counts.filter(F.col("n_item") >= least)
+    counts = cut(counts.join(small(codes, n_codes), counts["item"] == codes["code"]).select(counts["item"], codes["item"].alias("name"), "n_item"))
+    n_items = counts.count()
+    if least > 1:
+        own = own.join(small(counts.select("item"), n_items), "item", "left_semi")
+    # A pair travels as one number, the lower code in its upper half.
+    pair = F.shiftleft("item_a", 32).bitwiseOR(F.col("item_b"))
+    found = _pairs(_blocks(own, block)).groupBy(pair.alias("pair")).agg(F.count("*").alias("n_ab")).filter(F.col("n_ab") >= least)
+    for side, code in (("a", F.shiftright("pair", 32)), ("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)))):
+        own_side = counts.select(F.col("item").alias("_code"), F.col("name").alias(f"item_{side}"), F.col("n_item").alias(f"n_{side}"))
+        found = found.join(small(own_side, n_items), code == F.col("_code")).drop("_code")
     lift = F.col("n_ab") * F.lit(float(n)) / (F.col("n_a").cast("double") * F.col("n_b"))
     return found.select("item_a", "item_b", F.lit(n).cast("long").alias("n"), "n_a", "n_b", "n_ab", lift.alias("lift"), F.log2(lift).alias("pmi"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeweft.functions.names import folded
 from codeweft.llm import cooccurrence, docpairs, packing, provenance, quality, tokenize
 from codeweft.plans.general import path_sql
+from codeweft.session import cut
 from codeweft.sources.tables import current, table
 
 CAPACITY = 4096
@@ -95,6 +96,27 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return used.agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("n").alias("n_tokens"), fill.alias("fill"))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """(documents, over_capacity, split_small, gaps, copies_together): what must hold of any packing, counted.
+
+    Containers above the capacity, documents split though they fit, documents whose pieces don't make them up, and
+    containers with two pieces of texts equal but for case and white space, of clusters below a quarter of the containers.
+    """
+    docs = table(spark, d, "documents", "doc_id", "text", "source")
+    placed = cut(packing.pack_documents(docs, CAPACITY))
+    whole = placed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.max("piece").alias("last"), F.sum("n_tokens").alias("n"))
+    used = placed.groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    split = whole.agg(
+        F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= CAPACITY)).alias("split_small"), F.count_if(F.col("last") + 1 != F.col("pieces")).alias("gaps")
+    )
+    over = used.agg(F.count_if(F.col("n") > CAPACITY).alias("over_capacity"), F.count("*").alias("containers"))
+    same = docs.filter("text is not null").select("doc_id", F.xxhash64(F.lower(F.regexp_replace(F.trim("text"), r"\s+", " "))).alias("cluster"), F.trim("text").alias("t")).filter("t <> ''")
+    many = same.groupBy("cluster").agg(F.count("*").alias("copies")).crossJoin(over.select("containers")).filter("copies > 1 and 4 * copies <= containers")  # one row
+    met = placed.filter("n_tokens > 0").join(same.join(many, "cluster", "left_semi").select("doc_id", "cluster"), "doc_id").groupBy("container", "cluster").agg(F.countDistinct("doc_id").alias("n"))
+    together = met.agg(F.count_if(F.col("n") > 1).alias("copies_together"))
+    return split.crossJoin(over.drop("containers")).crossJoin(together)  # one row each
+
+
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text", "lang")
     return quality.outlier_scores(quality.document_statistics(docs, table(spark, d, "common_words", "lang", "word")))
@@ -115,7 +137,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_pairs, p2_found, p2_pairs, p2_source_pairs, p4_found, p4_labels, p7_ids, p7_round_trip, p8_containers, p8_fill, p9_found, p9_statistics,
+        p1_found, p1_pairs, p2_found, p2_pairs, p2_source_pairs, p4_found, p4_labels, p7_ids, p7_round_trip, p8_containers, p8_fill, p8_checks, p9_found, p9_statistics,
     )
 }
 
@@ -145,6 +167,8 @@ _EVIDENCE = " or ".join(
     ]
 )
 SQL = {
+    "p7_round_trip": "select doc_id, true same from documents",
+    "p8_checks": "select count(*) documents, 0::bigint over_capacity, 0::bigint split_small, 0::bigint gaps, 0::bigint copies_together from documents",
     "p4_found": rf"""with f as (select *, coalesce({path_sql("file_path")}, {path_sql("qualified_name")}, '') path from (select distinct on (id) * from nodes where id is not null order by id, version desc nulls last)
         where lower(trim(symbol_type)) = 'file'),
       g as (select *, regexp_replace(path, '/?[^/]*$', '') dir, regexp_extract(path, '[^/]*$', 0) base from f), h as (select *, regexp_extract(base, '([^.]*)$', 1) not in {provenance.DATA_LANGUAGES} code from g)
