@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from codeweft.operators import (
     consistency, cycles, deadcode, degree, export, history, ingest, lookup, overview, policies, risk, roles, rules, search, traverse, vectors,
 )
+from codeweft.schema import METRICS
 from codeweft.sources import files
-from codeweft.sources.tables import clean_edges, current_nodes, table
+from codeweft.sources.tables import clean_edges, current_nodes, nodes_of, nodes_where, table
 
 
 @dataclass
@@ -27,6 +28,14 @@ class Graph:
         names = [c for c in table(self.spark, self.folder, "nodes").columns if c not in ("id", "version")]
         return current_nodes(self.spark, self.folder, *names, "version")
 
+    def columns(self, *names: str) -> DataFrame:
+        """Current rows with some columns: only these are read and shuffled."""
+        return current_nodes(self.spark, self.folder, *names)
+
+    def find(self, column: str, value: str, *names: str) -> DataFrame:
+        """Current rows by the value of a column, which reaches the scan."""
+        return nodes_where(self.spark, self.folder, F.col(column) == value, *dict.fromkeys([column, *names]))
+
     @cached_property
     def edges(self) -> DataFrame:
         return clean_edges(self.spark, self.folder)
@@ -35,7 +44,7 @@ class Graph:
         return table(self.spark, self.folder, name)
 
     def start(self, name: str) -> DataFrame:
-        return lookup.by_qualified_name(self.nodes, name).select("id")
+        return self.find("qualified_name", name).select("id")
 
     def _id(self, name: str) -> int:
         row = self.start(name).first()
@@ -46,7 +55,7 @@ class Graph:
     # Tools -------------------------------------------------------------------------------------------------------------
 
     def get_project_overview(self) -> dict[str, DataFrame]:
-        n = self.nodes
+        n = self.columns("qualified_name", "symbol_type", "language", "tags", "fan_in", "fan_out", "loc", "cyclomatic", "file_path", "start_line")
         return {
             "counts": overview.counts(n, self.edges), "languages": overview.languages(n), "layers": overview.layers(n), "hotspots": overview.overview_hotspots(n),
             "entry_points": overview.entry_points(n), "clusters": overview.clusters_by_name(self.table("logical_clusters")), "sections": overview.sections(n),
@@ -72,24 +81,28 @@ class Graph:
         return vectors.similar(vecs.filter(F.col("vec_id") == vec_id), vecs, limit)
 
     def get_symbol_details(self, name: str, summary: bool = False) -> DataFrame:
-        return lookup.details(self.nodes, self.table("annotations"), self.table("test_specs"), name, summary)
+        """One row: fields, metrics, commits, the newest annotations, and the titles and assertions of its tests."""
+        names = ("symbol_type", "file_path", "signature", "docstring", "tags", "visibility", "start_line", "end_line", "loc", "cyclomatic", "fan_in", "fan_out", "history")
+        return lookup.details(self.find("qualified_name", name, *names), self.table("annotations"), self.table("test_specs"), name, summary)
 
     def analyze_impact(self, name: str, max_depth: int = 5) -> DataFrame:
-        return traverse.impact(self.nodes, self.edges, self.start(name), min(max_depth, 20))
+        return traverse.impact(self.columns("qualified_name"), self.edges, self.start(name), min(max_depth, 20))
 
     def get_callers(self, name: str) -> DataFrame:
-        return lookup.neighbours(self.nodes, self.edges, self._id(name), True)
+        return self._near(name, "to_id", "from_id")
 
     def get_callees(self, name: str) -> DataFrame:
-        return lookup.neighbours(self.nodes, self.edges, self._id(name), False)
+        return self._near(name, "from_id", "to_id")
+
+    def _near(self, name: str, own: str, other: str) -> DataFrame:
+        i = self._id(name)
+        near = clean_edges(self.spark, self.folder, "from_id", "to_id", "edge_type", "call_site_line", where=F.col(own) == i)
+        return lookup.neighbours(nodes_of(self.spark, self.folder, near.select(F.col(other).alias("id")), "qualified_name"), near, i, own == "to_id")
 
     def get_related_tests(self, name: str) -> DataFrame:
         """Tests of the symbol and of its file, by edges, and the titles of specs that name it."""
-        ids = self.nodes.filter(F.col("qualified_name").isin(name, name.split("#")[0])).select(F.col("id").alias("to_id"))
-        hits = self.edges.filter("edge_type = 'tests'").join(ids, "to_id", "left_semi").select(F.col("from_id").alias("id"))
-        tests = self.nodes.join(hits, "id", "left_semi").select(F.col("qualified_name").alias("test"))
-        specs = self.table("test_specs").filter(F.col("target_qname") == name).select(F.col("title").alias("test"))
-        return tests.unionByName(specs).distinct()
+        own = self.find("qualified_name", name, "qualified_name").select(F.col("id").alias("target"), "qualified_name")
+        return lookup.related_tests(own, self.columns("qualified_name", "symbol_type"), self.edges, self.table("test_specs")).select("test").distinct()
 
     def check_architecture_violations(self, own_rules: list[dict] | None = None) -> DataFrame:
         return rules.violations(self.nodes, self.edges, own_rules)
@@ -101,17 +114,17 @@ class Graph:
         return risk.proposals(self.nodes, self.edges, self.start(name))
 
     def get_risk_profile(self, name: str) -> DataFrame:
-        return risk.profiles(lookup.by_qualified_name(self.nodes, name))
+        return risk.profiles(lookup.by_qualified_name(self.find("qualified_name", name, "symbol_type", "file_path", "cyclomatic", "fan_in", "fan_out", "loc", "history", "tags", "visibility"), name))
 
     def get_hotspots(self, metric: str, threshold: int = 0, limit: int = 20) -> DataFrame:
-        return overview.hotspots(self.nodes, metric, limit, threshold)
+        return overview.hotspots(self.columns("qualified_name", "symbol_type", "file_path", "language", *METRICS) if metric in METRICS else self.nodes, metric, limit, threshold)
 
     def find_dead_code(self) -> tuple[DataFrame, DataFrame]:
         return deadcode.candidates(self.nodes, self.edges), deadcode.summary(self.nodes, self.edges)
 
     def export_graph(self, root: str | None = None, kind: str = "json", max_depth: int = 2) -> DataFrame:
-        """Lines of the export; ``json`` is a count with a flowchart."""
-        makers = {"json": export.mermaid, "graphml": export.graphml, "dot": export.dot}
+        """Lines of the export; ``json`` is one line with the counts and the flowchart."""
+        makers = {"json": export.as_json, "mermaid": export.mermaid, "graphml": export.graphml, "dot": export.dot}
         if kind not in makers:
             raise ValueError(f"no export: {kind}; there are {', '.join(makers)}")
         return makers[kind](*traverse.subgraph(self.nodes, self.edges, self.start(root) if root else None, max_depth))
@@ -132,10 +145,10 @@ class Graph:
         return policies.latent_policies(self.nodes, self.edges, threshold, min_count)
 
     def get_recent_changes(self, limit: int = 20, since: str | None = None) -> DataFrame:
-        return history.recent_changes(self.nodes, limit, since)
+        return history.recent_changes(self.columns("qualified_name", "history"), limit, since)
 
     def get_symbol_history(self, name: str) -> DataFrame:
-        return history.symbol_history(lookup.by_qualified_name(self.nodes, name))
+        return history.symbol_history(self.find("qualified_name", name, "history"))
 
     def add_annotation(self, name: str, kind: str, body: str, author: str = "", out: str | None = None) -> DataFrame:
         """A new annotation row of an existing symbol, appended to ``out`` if given."""

@@ -74,3 +74,10 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def document(lines: DataFrame) -> str:
     """The document as one text; for subgraphs, whose size the caller has bounded."""
     return "\n".join(r["line"] for r in lines.orderBy("part", "order_1", "order_2").collect())
+
+
+def as_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One line of JSON: the numbers of nodes and edges and the flowchart, which the caller bounds by the subgraph."""
+    text = document(mermaid(nodes, edges))
+    counts = nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))  # one row each
+    return counts.select(F.to_json(F.struct("nodes", "edges", F.lit(text).alias("mermaid"))).alias("line"))

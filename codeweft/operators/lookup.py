@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.arrays import has_tag_folded, tags
-from codeweft.functions.names import ascii_fold
+from codeweft.functions.names import ascii_fold, blank, canonical_name, file_part
+from codeweft.operators.orphans import epoch
 from codeweft.schema import METRICS
 
 
@@ -73,6 +74,28 @@ def test_callers(nodes: DataFrame, edges: DataFrame, node_id: int) -> DataFrame:
     return near.join(nodes.select("id", "qualified_name", "file_path"), "id").filter(path.contains("test") | path.contains("spec")).select("qualified_name")
 
 
+def related_tests(targets: DataFrame, nodes: DataFrame, edges: DataFrame, specs: DataFrame) -> DataFrame:
+    """Distinct (target, test) for ``targets`` (target, qualified_name): the tests that a tests edge leads from to the
+    target or to its file, and the titles of the specs that name it.
+
+    Names of specs are compared with canonical path parts. Null names and titles are none.
+    """
+    files = nodes.filter("symbol_type = 'file'").select(F.col("id").alias("to_id"), F.col("qualified_name").alias("_file"))
+    own = targets.join(nodes.select(F.col("id").alias("to_id"), "qualified_name"), "qualified_name").select("target", "to_id")
+    above = targets.filter("qualified_name like '%#%'").join(files, file_part("qualified_name") == F.col("_file")).select("target", "to_id")
+    hits = edges.filter("edge_type = 'tests'").select("from_id", "to_id").join(own.unionByName(above), "to_id").select("target", F.col("from_id").alias("id")).distinct()
+    found = hits.join(nodes.select("id", F.col("qualified_name").alias("test")), "id").select("target", "test")
+    titles = specs.filter(~blank("target_qname")).select(canonical_name("target_qname").alias("qualified_name"), F.col("title").alias("test"))
+    return found.unionByName(titles.join(targets, "qualified_name").select("target", "test")).filter("test is not null").distinct()
+
+
+def first_edges(edges: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """(from_id, to_id, id, edge_type): the edge of the lowest id between each pair of ends, of the given types if any."""
+    own = edges.filter(F.col("edge_type").isin(*types)) if types else edges
+    best = own.filter("from_id is not null and to_id is not null").groupBy("from_id", "to_id").agg(F.min_by(F.struct("id", "edge_type"), "id").alias("e"))
+    return best.select("from_id", "to_id", "e.id", "e.edge_type")
+
+
 def structured(nodes: DataFrame) -> DataFrame:
     """The search result form: empty fields are null, so that JSON leaves them out."""
     return nodes.select(
@@ -91,11 +114,17 @@ def as_json(results: DataFrame) -> DataFrame:
 
 
 def details(nodes: DataFrame, annotations: DataFrame, specs: DataFrame, name: str, summary: bool = False) -> DataFrame:
-    """One row of a symbol: its fields, the five newest annotations, and its test titles; a summary has the first four only."""
+    """One row of a symbol: its fields, the five newest annotations, and its tests with their assertions; a summary has
+    four fields only.
+
+    Names of annotations and specs are compared with canonical path parts; rows without a title are no tests.
+    """
     own = by_qualified_name(nodes, name)
     if summary:
         return own.select("qualified_name", "symbol_type", "file_path", "signature")
-    notes = annotations.filter(F.col("node_qname") == name).orderBy(F.desc("created_at"), "id").limit(5)
-    notes = notes.agg(F.sort_array(F.collect_list(F.struct("created_at", "kind", "body")), asc=False).alias("annotations"))
-    titles = specs.filter(F.col("target_qname") == name).agg(F.sort_array(F.collect_set("title")).alias("tests"))
-    return own.crossJoin(F.broadcast(notes)).crossJoin(F.broadcast(titles))  # one row each
+    at = epoch(F.col("created_at"))
+    notes = annotations.filter(canonical_name("node_qname") == name).orderBy(F.desc_nulls_last(at), "id").limit(5)
+    notes = notes.agg(F.sort_array(F.collect_list(F.struct(F.unix_seconds(at).alias("created_at"), "kind", "body")), asc=False).alias("annotations"))
+    tests = specs.filter(canonical_name("target_qname") == name).filter("title is not null")
+    tests = tests.agg(F.sort_array(F.collect_set(F.struct("title", "assertions"))).alias("tests"))
+    return own.crossJoin(F.broadcast(notes)).crossJoin(F.broadcast(tests))  # one row each

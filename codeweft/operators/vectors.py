@@ -121,3 +121,8 @@ def embedded(snippets: DataFrame, provider: Callable[[list[str]], list[list[floa
                 yield pd.DataFrame({"id": part["id"], "embedding": vectors})
 
     return snippets.select("id", "text").mapInPandas(run, "id long, embedding array<float>")
+
+
+def stored(vectors: DataFrame, vec_id: int) -> DataFrame:
+    """The stored vector of an id; none where there is no row."""
+    return vectors.filter(F.col("vec_id") == vec_id)

@@ -633,14 +633,14 @@ def keyword_prefix(spark, d):
     return search.keyword(N(spark, d, "qualified_name", "symbol_type", "file_path"), "token get*")
 
 
-@query("select id, qualified_name from cur where lower(qualified_name) like '%token.get%' order by length(qualified_name), qualified_name, id limit 20")
+@query("select id, qualified_name from cur where lower(qualified_name) like '%repository.r%' order by length(qualified_name), qualified_name, id limit 20")
 def keyword_like(spark, d):
-    return search.like(N(spark, d, "qualified_name"), "token.get")
+    return search.like(N(spark, d, "qualified_name"), "repository.r")
 
 
-@query("select id, qualified_name, 1.0::double / row_number() over (order by length(qualified_name), qualified_name, id) score from (select * from cur where lower(qualified_name) like '%parcel.set%' order by length(qualified_name), qualified_name, id limit 20)")
+@query("select id, qualified_name, 1.0::double / row_number() over (order by length(qualified_name), qualified_name, id) score from (select * from cur where lower(qualified_name) like '%repository.s%' order by length(qualified_name), qualified_name, id limit 20)")
 def positional_score(spark, d):
-    own = search.like(N(spark, d, "qualified_name"), "Parcel.set")
+    own = search.like(N(spark, d, "qualified_name"), "Repository.s")
     return search.positional(own, [F.length("qualified_name"), F.col("qualified_name"), F.col("id")])
 
 
@@ -680,28 +680,59 @@ def embedding_snippets(spark, d):
     return N(spark, d, "qualified_name", "symbol_type", "signature", "file_path", "docstring").select("id", vectors.snippet().alias("snippet"))
 
 
-@query(""", m as (select id, min_by(checksum, version) checksum from nodes where version is not null group by id) select c.id from cur c left join m on m.id = c.id where m.id is null or c.checksum <> m.checksum""")
+@query(""", m as (select id, min_by(checksum, version) checksum from nodes where version % 2 = 0 group by id) select c.id from cur c left join m on m.id = c.id where m.id is null or c.checksum <> m.checksum""")
 def embedding_stale(spark, d):
-    """Nodes whose checksum has changed since their oldest version."""
-    meta = table(spark, d, "nodes", "id", "checksum", "version").filter("version is not null").groupBy("id").agg(F.min_by("checksum", "version").alias("checksum"))
+    """Nodes whose checksum isn't the one that was embedded; those of an even version stand for what was."""
+    meta = table(spark, d, "nodes", "id", "checksum", "version").filter("version % 2 = 0").groupBy("id").agg(F.min_by("checksum", "version").alias("checksum"))
     return vectors.stale(N(spark, d, "checksum"), meta)
 
 
 # -- tests and exports -------------------------------------------------------------------------------------------------
 
 
-@query("""select distinct s.target, t.qualified_name test_qname from (select id target, id from cur where symbol_type in ('class', 'file') union
-    select c.id, f.id from cur c join cur f on f.symbol_type = 'file' and f.qualified_name = split_part(c.qualified_name, '#', 1) where c.symbol_type = 'class') s
-  join e on e.to_id = s.id and e.edge_type = 'tests' join cur t on t.id = e.from_id""")
+@query(f"""select distinct s.target, t.qualified_name test from (select id target, id from cur union
+    select c.id, f.id from cur c join cur f on f.symbol_type = 'file' and f.qualified_name = split_part(c.qualified_name, '#', 1) where c.qualified_name like '%#%') s
+  join e on e.to_id = s.id and e.edge_type = 'tests' join cur t on t.id = e.from_id where t.qualified_name is not null
+  union select c.id, s.title from test_specs s join cur c on c.qualified_name = {name_sql('s.target_qname')} where trim(s.target_qname) <> '' and s.title is not null""")
 def related_tests(spark, d):
-    """Tests of every class and file, the tests of a class's file among them."""
+    """Tests of every symbol, those of its file and the titles of its specs among them."""
     nodes = N(spark, d, "qualified_name", "symbol_type")
-    files = nodes.filter("symbol_type = 'file'").select(F.col("id").alias("file_id"), F.col("qualified_name").alias("path"))
-    own = nodes.filter("symbol_type in ('class', 'file')").select(F.col("id").alias("target"), "id", "qualified_name")
-    via = own.filter("qualified_name like '%#%'").join(files, F.substring_index("qualified_name", "#", 1) == F.col("path")).select("target", F.col("file_id").alias("id"))
-    tests = E(spark, d, "from_id", "to_id", "edge_type").filter("edge_type = 'tests'").select("from_id", F.col("to_id").alias("id"))
-    reached = own.select("target", "id").unionByName(via).join(tests, "id").select("target", "from_id").distinct()
-    return reached.join(nodes.select(F.col("id").alias("from_id"), F.col("qualified_name").alias("test_qname")), "from_id").select("target", "test_qname").distinct()
+    targets = nodes.select(F.col("id").alias("target"), "qualified_name")
+    edges = E(spark, d, "from_id", "to_id", "edge_type", where=F.col("edge_type") == "tests")
+    return lookup.related_tests(targets, nodes, edges, table(spark, d, "test_specs", "target_qname", "title"))
+
+
+_TOLD = f"(select min(c.qualified_name) from cur c where c.qualified_name in (select {name_sql('target_qname')} from test_specs where title is not null))"
+
+
+@query(f"""select c.qualified_name, c.symbol_type, c.signature, c.loc, cast(coalesce(len(c.history), 0) as integer) commits,
+    (select count(*) from (select distinct on (id) * from annotations order by id) a where {name_sql('a.node_qname')} = c.qualified_name) notes,
+    (select array_to_string(list_sort(list(distinct title)), '; ') from test_specs s where {name_sql('s.target_qname')} = c.qualified_name and title is not null) titles
+  from cur c where c.qualified_name = {_TOLD}""")
+def symbol_details(spark, d):
+    """One symbol with its metrics, number of commits and notes (of five at most), and the titles of its tests."""
+    specs = table(spark, d, "test_specs", "target_qname", "title", "assertions")
+    told = specs.filter("title is not null").select(canonical_name("target_qname").alias("qualified_name"))
+    name = table(spark, d, "nodes", "qualified_name").join(told, "qualified_name", "left_semi").agg(F.min("qualified_name")).first()[0] or ""
+    own = nodes_where(spark, d, F.col("qualified_name") == name, "qualified_name", "symbol_type", "file_path", "signature", "loc", "history")
+    whole = lookup.details(own, table(spark, d, "annotations").dropDuplicates(["id"]), specs, name)
+    titles = F.array_join(F.array_sort(F.array_distinct(F.transform("tests", lambda t: t["title"]))), "; ")
+    commits = F.coalesce(F.size("history"), F.lit(0))
+    return whole.select("qualified_name", "symbol_type", "signature", "loc", commits.alias("commits"), F.size("annotations").cast("long").alias("notes"), titles.alias("titles"))
+
+
+@query("select from_id, to_id, min(id) id, min_by(edge_type, id) edge_type from e where edge_type in ('calls', 'depends_on') and from_id is not null and to_id is not null group by from_id, to_id")
+def first_edges(spark, d):
+    """The first dependency between each pair of nodes."""
+    kinds = ["calls", "depends_on"]
+    return lookup.first_edges(E(spark, d, "from_id", "to_id", "edge_type", where=F.col("edge_type").isin(*kinds)), kinds)
+
+
+@query("select vec_id, embedding from embeddings where vec_id = (select min(vec_id) from embeddings)")
+def stored_vector(spark, d):
+    """The stored vector of one id."""
+    vecs = table(spark, d, "embeddings", "vec_id", "embedding")
+    return vectors.stored(vecs, _or(vecs.agg(F.min("vec_id")).first()[0]))
 
 
 def _lines(make: Callable) -> Callable:
