@@ -80,18 +80,25 @@ class Automaton:
         if self.rank_of_pair is not None:
             return self
         self.rank_of_pair = {}
+        ranks = self.ranks
         for token, rank in sorted(self.ranks.items(), key=lambda x: x[1]):
             self.parts[rank] = None
             if len(token) == 1:
                 continue
-            # Before this merge the token's own bytes encode to exactly two tokens: the walk by lower ranks.
-            walk = self._walk(token, rank)
-            if len(walk) == 2:
-                self.parts[rank] = (walk[0], walk[1])
-                self.rank_of_pair[walk[0], walk[1]] = rank
+            # Before this merge the token's bytes are spelt by two arcs: of its splits into tokens, the one that is allowed.
+            for i in range(1, len(token)):
+                u, v = ranks.get(token[:i], rank), ranks.get(token[i:], rank)
+                if u < rank and v < rank and self._spelt(u) and self._spelt(v) and self.allowed(u, v, rank):
+                    self.parts[rank] = (u, v)
+                    self.rank_of_pair[u, v] = rank
+                    break
         self.arcs.clear()
         return self
 
+    def _spelt(self, rank: int) -> bool:
+        """Whether merges make the token at all."""
+        return self.parts[rank] is not None or len(self.tokens[rank]) == 1
+
     def allowed(self, t: int, w: int, before: int) -> bool:
         """Whether state t (the last token) has an arc w in the automaton of the merges with ranks under ``before``."""
         pair, parts = self.rank_of_pair, self.parts
@@ -140,7 +147,7 @@ class Automaton:
         out = self.ends.get(state)
         if out is None:
             own = self.own.get(state)
-            out = ((own, len(self.tokens[own])),) if own is not None else ()
+            out = ((own, len(self.tokens[own])),) if own is not None and self._spelt(own) else ()
             out = self.ends[state] = out + (self._ends(self._shorter(state)) if state else ())
         return out
 
