@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.operators import (
-    consistency, cycles, deadcode, degree, export, history, ingest, lookup, overview, policies, risk, roles, rules, search, traverse, vectors,
+    consistency, cycles, deadcode, degree, export, history, indexing, ingest, lookup, overview, policies, risk, roles, rules, search, traverse, vectors,
 )
 from codeweft.schema import METRICS
 from codeweft.sources import files
@@ -61,6 +61,10 @@ class Graph:
             "entry_points": overview.entry_points(n), "clusters": overview.clusters_by_name(self.table("logical_clusters")), "sections": overview.sections(n),
         }
 
+    def initialize_project(self, root: str, commit: str = "", version: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(nodes, edges, specs) of the files under a folder, its ignore files heeded."""
+        return indexing.index(files.tree(self.spark, root, files.read_rules(self.spark, root)), commit, version)
+
     def search_symbols(self, query: str, limit: int = 10, vector_hits: DataFrame | None = None) -> DataFrame:
         """Keyword hits, or fused with near vectors (id, place); a query with signs that no word has falls back to substrings."""
         limit = max(1, min(200, int(limit or 10)))
@@ -139,7 +143,8 @@ class Graph:
         return roles.retagged(self.nodes, self.edges)
 
     def backfill_history(self, log: DataFrame) -> DataFrame:
-        return history.backfilled(self.nodes, history.file_histories(log).withColumn("history", _commits("history")))
+        """Nodes with the newest commits of their file; a log with message and author gives these too."""
+        return history.backfilled(self.nodes, history.file_commits(log))
 
     def discover_latent_policies(self, threshold: float = 0.9, min_count: int = 5) -> DataFrame:
         return policies.latent_policies(self.nodes, self.edges, threshold, min_count)
@@ -151,11 +156,15 @@ class Graph:
         return history.symbol_history(self.find("qualified_name", name, "history"))
 
     def add_annotation(self, name: str, kind: str, body: str, author: str = "", out: str | None = None) -> DataFrame:
-        """A new annotation row of an existing symbol, appended to ``out`` if given."""
+        """A new annotation row of an existing symbol, appended to ``out`` if given. Its id is a hash of its content and time,
+        its commit the symbol's last one."""
         if kind not in ("decision", "gotcha", "todo", "rationale"):
             raise ValueError(f"no kind of annotation: {kind}")
-        self._id(name)
+        node = self.find("qualified_name", name, "last_updated_commit").first()
+        if node is None:
+            raise KeyError(f"no symbol: {name}")
         row = self.spark.range(1).select(
+            F.xxhash64(F.lit(name), F.lit(kind), F.lit(body), F.lit(author), F.unix_timestamp()).alias("id"), F.lit(node["last_updated_commit"]).cast("string").alias("commit_hash"),
             F.lit(name).alias("node_qname"), F.lit(kind).alias("kind"), F.lit(body).alias("body"), F.lit(author).alias("author"), F.unix_timestamp().alias("created_at")
         )
         if out:
@@ -183,11 +192,5 @@ class Graph:
         return ingest.applied(self.nodes, self.edges, events, new_nodes, raw_edges)
 
 
-def _commits(c: str):
-    """Commit hashes as history entries without the rest."""
-    none = F.lit(None).cast("string")
-    return F.transform(c, lambda h: F.struct(h.alias("hash"), none.alias("message"), none.alias("author"), none.alias("date")))
-
-
 def read(spark: SparkSession, folder: str) -> Graph:
     return Graph(spark, folder)

@@ -55,6 +55,21 @@ def file_histories(log: DataFrame, limit: int = 5) -> DataFrame:
     return top.groupBy("file_path").agg(F.transform(rows, lambda x: x["commit_hash"]).alias("history"))
 
 
+def file_commits(log: DataFrame, limit: int = 5) -> DataFrame:
+    """(file_path, history): the newest commits of each file as (hash, message, author, date), the newest first.
+
+    ``message`` and ``author`` are null where the log hasn't these columns; the date is the entry's time in ISO form.
+    """
+    text = lambda c: F.col(c) if c in log.columns else F.lit(None).cast("string")
+    date = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    own = log.select("file_path", "ts", "commit_hash", F.struct(F.col("commit_hash").alias("hash"), text("message").alias("message"), text("author").alias("author"), date.alias("date")).alias("c"))
+    own = own.groupBy("file_path", "commit_hash").agg(F.max_by("c", "ts").alias("c"), F.max("ts").alias("ts"))
+    newest = Window.partitionBy("file_path").orderBy(F.desc("ts"), F.desc("commit_hash"))
+    top = own.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= limit)
+    rows = F.array_sort(F.collect_list(F.struct("_n", "c")))
+    return top.groupBy("file_path").agg(F.transform(rows, lambda x: x["c"]).alias("history"))
+
+
 def backfilled(nodes: DataFrame, histories: DataFrame) -> DataFrame:
     """Nodes with the history of their file, their own where the file has none."""
     own = histories.select("file_path", F.col("history").alias("_history"))

@@ -56,14 +56,19 @@ def applied(nodes: DataFrame, edges: DataFrame, events: DataFrame, new_nodes: Da
         .select("from_qname", F.col("_name").alias("to_qname"), "edge_type", "dynamic", "call_site_line")
     )
     found = resolved(raw_edges.select("from_qname", "to_qname", "edge_type", "dynamic", "call_site_line").unionByName(again), rows)
-    # Equal edges, such as two calls on one line, are told apart by a number among them.
-    same = ["from_id", "to_id", "edge_type", "call_site_line", "dynamic"]
-    counted = found.groupBy(*same).agg(F.count("*").alias("_n")).select(*same, F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_place"))
-    added = counted.select(F.xxhash64("from_id", "to_id", "edge_type", F.coalesce("call_site_line", F.lit(-1)), "dynamic", "_place").alias("id"), *same)
+    added = counted_edges(found)
     every = inner.unionByName(added, allowMissingColumns=True).dropDuplicates(["id"])
     return reconciled(rows, every), every
 
 
+def counted_edges(found: DataFrame) -> DataFrame:
+    """Edges with ids of resolved raw ones: equal edges, such as two calls on one line, are told apart by a number among
+    them, so that applying them again gives the same ids."""
+    same = ["from_id", "to_id", "edge_type", "call_site_line", "dynamic"]
+    counted = found.groupBy(*same).agg(F.count("*").alias("_n")).select(*same, F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_place"))
+    return counted.select(F.xxhash64("from_id", "to_id", "edge_type", F.coalesce("call_site_line", F.lit(-1)), "dynamic", "_place").alias("id"), *same)
+
+
 def candidates(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """(name, id, tier) of distinct names (name): 1 the whole name as a qualified name, 2 without its hint up to the first
     colon, 3 as a symbol name whatever its case, a type that the hint names before others. The lowest id on ties.
@@ -83,10 +88,19 @@ def candidates(names: DataFrame, nodes: DataFrame) -> DataFrame:
     return every.groupBy("name").agg(F.min(F.struct("tier", "off", "id")).alias("x")).select("name", "x.id", "x.tier")
 
 
-def resolved(raw_edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Raw edges with from_id and to_id; those with an end that no name gives are dropped."""
+def resolved(raw_edges: DataFrame, nodes: DataFrame, remote: DataFrame | None = None) -> DataFrame:
+    """Raw edges with from_id and to_id; those with an end that no name gives are dropped.
+
+    A ``to`` end that only another project names is found in ``remote`` (id, qualified_name), if given; ``remote`` ids are
+    those of the nodes that stand for its symbols here.
+    """
     names = raw_edges.select(F.explode(F.array("from_qname", "to_qname")).alias("name")).filter("name is not null").distinct()
     found = candidates(names, nodes).select("name", "id")
+    if remote is not None:
+        rest = raw_edges.select(F.col("to_qname").alias("name")).filter("name is not null").distinct().join(found, "name", "left_anti")
+        other = candidates(rest, remote.select("id", "qualified_name", F.lit(None).cast("string").alias("symbol_type"))).select("name", "id")
+        to = raw_edges.join(found.unionByName(other).withColumnsRenamed({"name": "to_qname", "id": "to_id"}), "to_qname")
+        return to.join(found.withColumnsRenamed({"name": "from_qname", "id": "from_id"}), "from_qname")
     for side in ("from", "to"):
         raw_edges = raw_edges.join(found.withColumnsRenamed({"name": f"{side}_qname", "id": f"{side}_id"}), f"{side}_qname")
     return raw_edges
@@ -113,8 +127,3 @@ def across_projects(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     best = hits.filter("other <> project").groupBy("name", "project").agg(F.min(F.struct("other", "off", "x")).alias("b"))
     return best.select("name", "project", F.col("b.x.id").alias("id"), F.concat(F.lit("remote:"), "b.other", F.lit(":"), "b.x.qualified_name").alias("shadow"))
 
-
-def filled(nodes: DataFrame, metrics: DataFrame, names: tuple[str, ...] = ("loc", "cyclomatic")) -> DataFrame:
-    """Nodes with new values of some metrics where ``metrics`` (id, ...) has them."""
-    own = metrics.select("id", *[F.col(n).alias(f"_{n}") for n in names])
-    return nodes.join(own, "id", "left").withColumns({n: F.coalesce(f"_{n}", n) for n in names}).drop(*[f"_{n}" for n in names])

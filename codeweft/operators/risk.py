@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.arrays import has_tag
+from codeweft.operators.advice import refactor_steps, remedy
 from codeweft.operators.traverse import bfs
 
 # Full marks and weights of churn, complexity and coupling, and the levels of the score.
 FACTORS = {"churn": (20, 0.4), "complexity": (30, 0.3), "coupling": (50, 0.3)}
 LEVELS = ((0.8, "CRITICAL"), (0.5, "HIGH"), (0.2, "MEDIUM"))
-# Fan-in, complexity and reach from which a refactoring has a risk.
+# The names of levels and strategies and the texts of reasons below, and fan-in, complexity and reach from which a refactoring has a risk.
 REFACTOR = ((50, 30, 100, "CRITICAL"), (20, 15, 30, "HIGH"), (5, 8, 10, "MEDIUM"))
 
 
@@ -60,21 +61,30 @@ def reasons(fan_in: Column, complexity: Column, reached: Column) -> Column:
 
 
 def proposals(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
-    """(id, qualified_name, impacted, risk, reasons) of each start (id), by what reaches it within ``depth`` steps."""
-    reached = bfs(edges, starts, depth, incoming=True).join(nodes.select("id"), "id", "left_semi")
+    """(id, qualified_name, impacted, risk, reasons, steps) of each start (id), by what reaches it within ``depth`` steps.
+
+    The steps name the three symbols that are nearest, the start first, ties by the lowest id.
+    """
+    reached = bfs(edges, starts, depth, incoming=True).join(nodes.select("id", F.col("qualified_name").alias("_name")), "id")
     n = reached.groupBy("start").agg(F.count("*").cast("int").alias("impacted"))
+    place = F.row_number().over(Window.partitionBy("start").orderBy("distance", "id"))
+    near = reached.withColumn("_place", place).filter("_place <= 3").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("_place", "_name"))).alias("_near"))
+    n = n.join(near, "start")
     own = nodes.join(n, nodes.id == n.start)
     fan, cc = F.coalesce("fan_in", F.lit(0)), F.coalesce("cyclomatic", F.lit(0))
-    return own.select("id", "qualified_name", "impacted", refactor_risk(fan, cc, F.col("impacted")).alias("risk"), reasons(fan, cc, F.col("impacted")).alias("reasons"))
+    own = own.withColumn("risk", refactor_risk(fan, cc, F.col("impacted")))
+    steps = refactor_steps(F.col("qualified_name"), fan, F.col("risk"), F.transform("_near", lambda x: x["_name"]))
+    return own.select("id", "qualified_name", "impacted", "risk", reasons(fan, cc, F.col("impacted")).alias("reasons"), steps.alias("steps"))
 
 
 def remedies(violations: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Adds ``strategy`` to violations (from_id, to_id, policy_id): the first kind of remedy that fits the ends' tags.
+    """Adds ``strategy``, ``rationale`` and ``steps`` to violations (from_id, to_id, policy_id, and description if they have
+    one): the first kind of remedy that fits the ends' tags.
 
     Tags are compared case-sensitively. An end without a node leaves too little to say.
     """
     for side, p in (("from_id", "f_"), ("to_id", "t_")):
-        own = nodes.select(F.col("id").alias(side), F.col("tags").alias(f"{p}tags"), F.col("cyclomatic").alias(f"{p}cc"), F.col("loc").alias(f"{p}loc"), F.lit(True).alias(f"{p}known"))
+        own = nodes.select(F.col("id").alias(side), F.col("tags").alias(f"{p}tags"), F.col("cyclomatic").alias(f"{p}cc"), F.col("loc").alias(f"{p}loc"), F.lit(True).alias(f"{p}known"), F.col("qualified_name").alias(f"{p}name"))
         violations = violations.join(own, side, "left")
     f, t = (lambda x: has_tag("f_tags", x)), (lambda x: has_tag("t_tags", x))
     strategy = (
@@ -86,4 +96,7 @@ def remedies(violations: DataFrame, nodes: DataFrame) -> DataFrame:
         .when((F.coalesce("f_cc", F.lit(0)) > 30) | (F.coalesce("f_loc", F.lit(0)) > 500), "Single Responsibility Principle (SRP) Decomposition")
         .otherwise("Architectural Decoupling")
     )
-    return violations.withColumn("strategy", strategy).drop("f_tags", "f_cc", "f_loc", "f_known", "t_tags", "t_cc", "t_loc", "t_known")
+    said = F.col("description") if "description" in violations.columns else F.lit("")
+    rationale, steps = remedy(F.col("strategy"), said, F.col("f_name"), F.col("t_name"))
+    out = violations.withColumn("strategy", strategy).withColumns({"rationale": rationale, "steps": steps})
+    return out.drop("f_name", "t_name", "f_tags", "f_cc", "f_loc", "f_known", "t_tags", "t_cc", "t_loc", "t_known")

@@ -100,16 +100,21 @@ def violations(nodes: DataFrame, edges: DataFrame, rules: list[dict] | None = No
 
 
 def layer_match(pattern: str, path: Column) -> Column:
-    """A regular expression anywhere in the path, or a substring if it is no valid one."""
+    """A regular expression anywhere in the path, or a substring if it is no valid one of the engine that runs it."""
+    from py4j.protocol import Py4JError
+    from pyspark import SparkContext
+    from pyspark.errors.exceptions.captured import CapturedException
+
     try:
-        re.compile(pattern)
-    except re.error:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JError, CapturedException):
         return path.contains(pattern)
     return path.rlike(pattern)
 
 
 def drift(nodes: DataFrame, edges: DataFrame, intent: dict) -> dict[str, DataFrame]:
-    """declared_layers (name, node_count, mapped), rule_health (name, violations, status), emergent (from_tag, to_tag, ...)."""
+    """declared_layers (name, node_count, mapped), unmapped (unmapped), rule_health (name, violations, status), emergent
+    (from_tag, to_tag, ...). Nodes without a path are in no layer and aren't unmapped either."""
     spark = nodes.sparkSession
     path = F.replace(F.coalesce("file_path", F.lit("")), F.lit("\\"), F.lit("/"))
     layers, rules = intent.get("layers", []), intent.get("rules", [])
@@ -117,6 +122,10 @@ def drift(nodes: DataFrame, edges: DataFrame, intent: dict) -> dict[str, DataFra
         F.array(*[F.struct(F.lit(x["name"]).alias("name"), F.count_if(layer_match(x["pathPattern"], F.col("p"))).alias("node_count")) for x in layers] or [F.struct(F.lit("").alias("name"), F.lit(0).cast("long").alias("node_count"))]).alias("x")
     )
     declared = sums.select(F.inline("x")).filter("name <> ''").withColumn("mapped", F.col("node_count") > 0)
+    mapped = F.lit(False)
+    for x in layers:
+        mapped = mapped | layer_match(x["pathPattern"], F.col("p"))
+    unmapped = nodes.select(path.alias("p")).filter("p <> ''").agg(F.count_if(~mapped).alias("unmapped"))
     hits = path_violations(nodes, edges, rules).groupBy("policy_id").agg(F.count("*").alias("n"))
     names = spark.createDataFrame([(r["name"], f"custom:{r['name']}") for r in rules], "name string, policy_id string")
     n = F.coalesce("n", F.lit(0))
@@ -125,7 +134,7 @@ def drift(nodes: DataFrame, edges: DataFrame, intent: dict) -> dict[str, DataFra
     bare = lambda c: F.lower(F.regexp_replace(c, "(?i)^layer:", ""))
     latent = policies.latent_policies(nodes, edges)
     emergent = latent.filter(~F.concat(bare("from_tag"), F.lit("->"), bare("to_tag")).isin(*pairs)) if pairs else latent
-    return {"declared_layers": declared, "rule_health": health, "emergent": emergent}
+    return {"declared_layers": declared, "unmapped": unmapped, "rule_health": health, "emergent": emergent}
 
 
 def read_rules(spark: SparkSession, path: str) -> list[dict]:
@@ -148,6 +157,3 @@ def read_intent(spark: SparkSession, path: str) -> dict:
                 raise ValueError(f"an entry of {key} needs {', '.join(need)}: {x}")
     return out
 
-
-def layer_nodes(nodes: DataFrame, tag: str) -> DataFrame:
-    return nodes.filter(has_tag_folded("tags", tag))

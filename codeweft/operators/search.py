@@ -13,6 +13,7 @@ from codeweft.functions.names import ascii_fold
 K1, B = 1.2, 0.75
 FUSION_K = 60
 INDEXED = ("qualified_name", "symbol_type", "file_path")
+# Letters with accents that the index takes for plain ones.
 _MARKS = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ"
 _PLAIN = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyy"
 
@@ -22,39 +23,64 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.translate(c, _MARKS, _PLAIN)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def query_terms(query: str) -> list[list[str]]:
-    """The terms of each alternative of a query: stars and quotes are dropped, words split at punctuation, OR parts them."""
+def _words(text: str) -> list[str]:
+    import re
+
+    return re.findall(r"[^\W_]+", text.translate(str.maketrans(_MARKS, _PLAIN)).lower())
+
+
+def query_terms(query: str) -> list[tuple[list[tuple[str | None, str]], list[tuple[str | None, str]]]]:
+    """The alternatives of a query, each (terms, terms that must not occur), a term (column or None, word).
+
+    OR parts alternatives, NOT what must not occur; ``col:`` before a word binds it to an indexed column. Stars and quotes
+    are dropped, words split at punctuation and stripped of the accents that the index strips.
+    """
     import re
-    import unicodedata
 
     clean = query.translate(str.maketrans("", "", "*\"'")).strip()
     out = []
     for part in re.split(r"\s+OR\s+", clean):
-        flat = "".join(ch for ch in unicodedata.normalize("NFD", part) if not unicodedata.combining(ch)).lower()
-        words = [w for w in re.findall(r"[^\W_]+", flat)]
-        if words:
-            out.append(words)
+        sides: list[list[tuple[str | None, str]]] = []
+        for side in re.split(r"(?:^|\s+)NOT\s+", part):
+            terms = []
+            for piece in side.replace(" AND ", " ").split():
+                col, _, rest = piece.partition(":")
+                bound = col if rest and col in INDEXED else None
+                terms += [(bound, w) for w in _words(rest if bound else piece)]
+            sides.append(terms)
+        if sides[0]:
+            out.append((sides[0], [t for side in sides[1:] for t in side]))
+    return out
+
+
+def _any(conditions: list) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
     return out
 
 
 def keyword(nodes: DataFrame, query: str, limit: int = 20, scored: bool = False) -> DataFrame:
-    """(id, qualified_name, score) of nodes that have every term, the last one as a prefix; best first, ties by name and id.
+    """(id, qualified_name, score) of nodes that have every term, the last one as a prefix, and none that is excluded; best
+    first, ties by name and id.
 
     The score weighs a term by how rare it is and by its share of the row's words. An empty query gives no rows. One pass
     gathers the counts of the terms, a second ranks the matches.
     """
     alternatives = query_terms(query)
-    own = nodes.select("id", "qualified_name", tokens(F.concat_ws(" ", *INDEXED)).alias("words"))
+    bound = {c for terms, out in alternatives for c, _ in [*terms, *out] if c}
+    own = nodes.select("id", "qualified_name", tokens(F.concat_ws(" ", *INDEXED)).alias("words"), *[tokens(F.col(c)).alias(f"in_{c}") for c in sorted(bound)])
     if not alternatives:
         return own.select("id", "qualified_name", F.lit(0.0).alias("score")).limit(0)
-    flat = [(w, i == len(words) - 1) for words in alternatives for i, w in enumerate(words)]
-    hits = [F.size(F.filter("words", (lambda w, p: (lambda t: t.startswith(w) if p else t == w))(w, p))) for w, p in flat]
-    counted = own.select("id", "qualified_name", F.size("words").alias("n"), *[h.alias(f"h{i}") for i, h in enumerate(hits)])
+    flat = [(c, w, i == len(terms) - 1) for terms, _ in alternatives for i, (c, w) in enumerate(terms)]
+    hits = [F.size(F.filter(f"in_{c}" if c else "words", (lambda w, p: (lambda t: t.startswith(w) if p else t == w))(w, p))) for c, w, p in flat]
+    barred = [F.lit(False) if not out else F.lit(True) & _any([F.array_contains(f"in_{c}" if c else "words", w) for c, w in out]) for _, out in alternatives]
+    counted = own.select("id", "qualified_name", F.size("words").alias("n"), *[h.alias(f"h{i}") for i, h in enumerate(hits)], *[x.alias(f"x{i}") for i, x in enumerate(barred)])
     sums = counted.agg(F.count("*").alias("rows"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"h{i}") > 0).alias(f"d{i}") for i in range(len(flat))]).first()
     score, at, match = F.lit(0.0), 0, F.lit(False)
-    for words in alternatives:
-        every = F.lit(True)
-        for _ in words:
+    for i, (terms, _) in enumerate(alternatives):
+        every = ~F.col(f"x{i}")
+        for _ in terms:
             h = F.col(f"h{at}")
             weight = max(log((sums["rows"] - sums[f"d{at}"] + 0.5) / (sums[f"d{at}"] + 0.5)), 1e-6)
             score = score + weight * h * (K1 + 1) / (h + K1 * (1 - B + B * F.col("n") / (sums["mean"] or 1)))

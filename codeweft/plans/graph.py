@@ -406,6 +406,18 @@ def drift_rules(spark, d):
     return rules.drift(N(spark, d, "file_path", "tags"), E(spark, d, "from_id", "to_id", "edge_type"), _INTENT)["rule_health"]
 
 
+@query("select count(*) unmapped from (select replace(coalesce(file_path, ''), '\\', '/') p from cur) where p <> '' and not (regexp_matches(p, '/(api|server)/') or regexp_matches(p, '/db/') or contains(p, '([') or regexp_matches(p, '^nowhere/'))")
+def drift_unmapped(spark, d):
+    """How many nodes lie in no declared layer."""
+    return rules.drift(N(spark, d, "file_path", "tags"), E(spark, d, "from_id", "to_id", "edge_type"), _INTENT)["unmapped"]
+
+
+@query()
+def drift_emergent(spark, d):
+    """Latent policies that no rule declares."""
+    return rules.drift(N(spark, d, "file_path", "tags"), E(spark, d, "from_id", "to_id", "edge_type"), _INTENT)["emergent"]
+
+
 _LATENT = """d as (select list_distinct(f.tags) f, list_distinct(t.tags) t from e join cur f on f.id = e.from_id join cur t on t.id = e.to_id
     where e.edge_type in ('calls', 'dynamic_calls', 'inherits', 'implements', 'depends_on') and f.tags is not null and t.tags is not null),
   tot as (select from_tag, count(*) total from (select unnest(f) from_tag from d) group by from_tag),
@@ -439,7 +451,7 @@ _REACH = """starts as (select id from cur where symbol_type = 'interface'), walk
 def refactor_risk(spark, d):
     """Of every interface, by what reaches it in two steps."""
     nodes = N(spark, d, "qualified_name", "symbol_type", "fan_in", "cyclomatic", "tags")
-    return risk.proposals(nodes, E(spark, d), nodes.filter("symbol_type = 'interface'").select("id"), 2).drop("reasons")
+    return risk.proposals(nodes, E(spark, d), nodes.filter("symbol_type = 'interface'").select("id"), 2).drop("reasons", "steps")
 
 
 @query(f""", {_REACH}, said as (select id, list_filter([case when fan > 20 then printf('High coupling: %d incoming dependencies.', fan) end, case when cc > 15 then printf('High complexity: Cyclomatic complexity is %d.', cc) end,
@@ -453,6 +465,21 @@ def risk_reasons(spark, d):
     return own.select("id", F.array_join("reasons", "|").alias("reasons"))
 
 
+@query()
+def remedy_texts(spark, d):
+    """(edge_id, policy_id, rationale, steps) of every policy violation."""
+    nodes = N(spark, d, "qualified_name", "file_path", "tags", "cyclomatic", "loc")
+    found = rules.policy_violations(nodes, E(spark, d, "from_id", "to_id", "edge_type"))
+    return risk.remedies(found, nodes).select("edge_id", "policy_id", "rationale", F.array_join("steps", "|").alias("steps"))
+
+
+@query()
+def refactor_steps(spark, d):
+    """(id, steps) for the lowest id that a calls edge goes to."""
+    nodes = N(spark, d, "qualified_name", "symbol_type", "fan_in", "cyclomatic", "tags")
+    return risk.proposals(nodes, E(spark, d), _start(spark, d), 2).select("id", F.array_join("steps", "|").alias("steps"))
+
+
 @query(f""", {_ENDS}, v as ({_POLICY}) select v.edge_id, v.policy_id, v.description, case
     when list_contains(t.tags, 'layer:api') and (list_contains(f.tags, 'layer:core') or list_contains(f.tags, 'layer:data')) then 'Dependency Inversion via Interface/DTO'
     when list_contains(f.tags, 'role:utility') and (list_contains(t.tags, 'role:service') or list_contains(t.tags, 'role:repository')) then 'Stateless Helper Extraction'

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Directories that are never indexed, and the largest file.
 ALWAYS_IGNORED = (".git", "node_modules")
 MOST_BYTES = 500 * 1024
+# Fixed value: the highest schema version of another project's tables that is trusted.
+MOST_SCHEMA = 1000
 
 
 def ignore_pattern(rule: str) -> str | None:
@@ -46,6 +48,72 @@ def ignored(path: Column, rules: list[str], always: tuple[str, ...] = ALWAYS_IGN
     return out | verdict
 
 
+def nested_rules(rules: dict[str, list[str]]) -> list[str]:
+    """The rules of ignore files by the directory they lie in ("" is the root) as rules of the root, outer ones first.
+
+    A rule with a slash before its end is anchored to its directory, others hold at any depth below it.
+    """
+    out = []
+    for folder in sorted(rules, key=lambda f: (f.count("/") + (f != ""), f)):
+        base = folder.strip("/")
+        for rule in rules[folder]:
+            rule = rule.strip()
+            if not rule or rule.startswith("#") or not base:
+                out.append(rule)
+                continue
+            sign, body = ("!", rule[1:]) if rule.startswith("!") else ("", rule)
+            deep = "" if "/" in body.rstrip("/") else "**/"
+            out.append(f"{sign}/{base}/{deep}{body.lstrip('/')}")
+    return out
+
+
+def read_rules(spark: SparkSession, root: str, name: str = ".gitignore", excluded: list[str] | None = None) -> list[str]:
+    """The rules of all ignore files under a folder, nested ones too, and the excluded patterns of a profile last.
+
+    Ignore files are few and small by nature and their lines come to the driver; they are looked up level by level, because
+    file scans pass over names that start with a dot.
+    """
+    jvm = spark._jvm
+    base = root.rstrip("/")
+    fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    rules: dict[str, list[str]] = {}
+    level = ""
+    while level == "" or fs.globStatus(jvm.org.apache.hadoop.fs.Path(base + level)):
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{base}{level}/{name}")) or []:
+            stream = fs.open(status.getPath())
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            folder = status.getPath().getParent().toUri().getPath()
+            rules[folder[len(base) :].strip("/")] = text.splitlines()
+        level += "/*"
+    return nested_rules(rules) + list(excluded or [])
+
+
+def remote_nodes(spark: SparkSession, path: str, most: int = MOST_SCHEMA) -> DataFrame | None:
+    """(id, qualified_name, symbol_name) of another project's nodes table, opened for reading only; None if it isn't to be
+    trusted: no such table, no ``qualified_name``, or a schema version (a file property's number beside the table, 0 if
+    there is none) out of range. A table without ``symbol_name`` has it from the names."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        df = spark.read.parquet(path)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.version")
+        known = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+        said = spark.read.text(f"{path}.version").first()["value"].strip() if known else "0"
+    except AnalysisException:
+        return None
+    kinds = dict(df.dtypes)
+    if not said.isdigit() or int(said) > most or kinds.get("qualified_name") != "string" or kinds.get("id") not in ("bigint", "int"):
+        return None
+    name = F.col("symbol_name") if "symbol_name" in kinds else F.substring_index("qualified_name", "#", -1)
+    return df.select(F.col("id").cast("long").alias("id"), "qualified_name", name.alias("symbol_name"))
+
+
+def restore(spark: SparkSession, copy: str, path: str) -> None:
+    """Puts a table folder back from its copy; the folder is replaced."""
+    spark.read.parquet(copy).write.mode("overwrite").parquet(path)
+
+
 def tree(spark: SparkSession, root: str, rules: list[str] | None = None, most: int = MOST_BYTES) -> DataFrame:
     """(path, text, length) of the files under a folder that rules and size let through; texts are decoded as UTF-8.
 
