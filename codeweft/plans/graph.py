@@ -306,6 +306,16 @@ def dfs_order(spark, d):
     return traverse.dfs(edges, least if least is not None else -1, 3)
 
 
+#: Components: what a hub reaches and is reached by is one; the pairs that reach each other in the rest are the others.
+_SCC = """l as (select distinct from_id a, to_id b from e where edge_type in ('calls', 'dynamic_calls', 'inherits', 'implements', 'depends_on') and from_id <> to_id),
+  hub as (select b id from l group by b order by count(*) desc, b limit 1),
+  fw as (select id from hub union select l.b from fw join l on l.a = fw.id), bw as (select id from hub union select l.a from bw join l on l.b = bw.id),
+  giant as (select id from fw intersect select id from bw), rest as (select a, b from l where a not in (select id from giant) and b not in (select id from giant)),
+  reach as (select a, b from rest union select r.a, n.b from reach r join rest n on n.a = r.b),
+  scc as (select id, (select min(id) from giant) component from giant where (select count(*) from giant) > 1
+    union all select x.a, min(least(x.a, x.b)) from reach x join reach y on y.a = x.b and y.b = x.a where x.a <> x.b group by x.a)"""
+
+
 # -- communities and cycles --------------------------------------------------------------------------------------------
 
 
@@ -330,7 +340,7 @@ def two_cycles(spark, d):
     return cycles.two_cycles(cycles.dependency_links(E(spark, d, "from_id", "to_id", "edge_type")))
 
 
-@query()
+@query(f", {_SCC} select * from scc", recursive=True)
 def scc_members(spark, d):
     """(id, component) of the strongly connected dependencies."""
     return cycles.components(cycles.dependency_links(E(spark, d, "from_id", "to_id", "edge_type")))
@@ -387,7 +397,13 @@ def arch_custom_violations(spark, d):
     return rules.path_violations(N(spark, d, "file_path"), E(spark, d, "from_id", "to_id", "edge_type"), _RULES)
 
 
-@query()
+@query(
+    f""", {_ENDS}, {_SCC}, sized as (select component, count(*) n from scc group by component),
+  loops as (select cast(null as bigint) edge_id, s.component from_id, min(l.b) to_id, 'circular-dependency' policy_id, 'Circular dependency of ' || s.n || ' symbols' description
+    from sized s join l on l.a = s.component join scc i on i.id = l.b and i.component = s.component group by s.component, s.n)
+  select * from ({_POLICY}) union all select * from ({_CUSTOM}) union all select * from loops""",
+    recursive=True,
+)
 def arch_violations(spark, d):
     """All violations, cycles too."""
     return rules.violations(N(spark, d, "qualified_name", "file_path", "tags"), E(spark, d, "from_id", "to_id", "edge_type"), _RULES)
