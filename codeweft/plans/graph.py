@@ -537,14 +537,36 @@ def tag_nodes(spark, d):
     return N(spark, d, *_TAG_COLUMNS).select("id", F.array_join(F.array_sort(roles.structural_tags()), ",").alias("tags"))
 
 
-@query()
+_ROLES = """il as (select distinct from_id id, to_id parent from e where edge_type in ('inherits', 'implements') and from_id is not null and to_id is not null),
+  own as (select id, unnest(tags) tag from {0}), shut as (select id from own where tag = 'trait:internal'),
+  up as (select id, parent anc from il where id not in (select id from shut)
+    union select u.id, l.parent from up u join il l on l.id = u.anc where u.anc not in (select id from shut)),
+  fresh as (select u.id, o.tag from up u join own o on o.id = u.anc where o.tag like 'role:%' and o.tag <> 'role:utility' and u.id in (select id from {0}) except select id, tag from own),
+  util as (select id from own where tag = 'role:utility' and id not in (select id from fresh)
+    union select l.id from util u join il l on l.parent = u.id where l.id in (select id from {0}) and l.id not in (select id from shut) and l.id not in (select id from fresh)
+      and l.id not in (select id from own where tag like 'role:%'))"""
+
+
+def _inherited(source: str) -> str:
+    """Tags of ``source`` (id, tags) as a list once roles are inherited."""
+    return f"""select c.id, c.tags old, list_sort(list_concat(
+      case when f.id is null then coalesce(c.tags, []) else list_filter(coalesce(c.tags, []), lambda x: x <> 'role:utility') end, coalesce(f.tags, []),
+      case when c.id in (select id from util) and not coalesce(list_contains(c.tags, 'role:utility'), false) then ['role:utility'] else [] end)) tags
+    from {source} c left join (select id, list(tag) tags from fresh group by id) f on f.id = c.id"""
+
+
+@query(f", {_ROLES.format('cur')} select id, array_to_string(tags, ',') tags from ({_inherited('cur')})", recursive=True)
 def tag_propagate(spark, d):
     """(id, tags) of every node after roles have spread along inherits and implements edges."""
     out = roles.inherited(N(spark, d, "tags"), E(spark, d, "from_id", "to_id", "edge_type"))
     return out.select("id", F.array_join(F.array_sort("tags"), ",").alias("tags"))
 
 
-@query()
+@query(
+    f""", set_anew as (select id, {_tag_sql()} tags from cur), {_ROLES.format('set_anew')} select x.id, array_to_string(x.tags, ',') tags from ({_inherited('set_anew')}) x join cur on cur.id = x.id
+      where list_sort(list_distinct(x.tags)) <> list_sort(list_distinct(coalesce(cur.tags, [])))""",
+    recursive=True,
+)
 def retag_changes(spark, d):
     """(id, tags) of the nodes whose tags change when everything is tagged anew."""
     out = roles.retagged(N(spark, d, *_TAG_COLUMNS), E(spark, d, "from_id", "to_id", "edge_type"))
