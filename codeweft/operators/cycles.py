@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 from itertools import count
 
 import pandas as pd
@@ -82,18 +83,45 @@ def _local(batches):
     yield pd.DataFrame(out, columns=["id", "component"])
 
 
+def _reached(links: DataFrame, start: DataFrame, at: str, to: str) -> DataFrame:
+    """(id) of what the links lead to from ``start`` (id), itself included; a round looks at what is new only."""
+    front = cut(start)
+    parts = [front]
+    while not front.isEmpty():
+        seen = reduce(DataFrame.unionByName, parts)
+        ahead = links.join(front.withColumnRenamed("id", at), at, "left_semi").select(F.col(to).alias("id")).distinct()
+        front = cut(ahead.join(seen, "id", "left_anti"))
+        parts.append(front)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _of_hub(links: DataFrame) -> DataFrame:
+    """(id, component) of the component of the node with most links, the lowest id on ties."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("id"))
+    hub = cut(ends.groupBy("id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(1).select("id"))
+    own = cut(_reached(links, hub, "a", "b").join(_reached(links, hub, "b", "a"), "id", "left_semi"))
+    return own.crossJoin(F.broadcast(own.agg(F.min("id").alias("component"))))  # one row
+
+
 def components(links: DataFrame, local_links: int = LOCAL_LINKS, rounds: int | None = None) -> DataFrame:
     """(id, component) of every node in a strongly connected component of two or more; named by the lowest id.
 
     Links that can't lie on a cycle are trimmed in distributed rounds. If few are left (counted), one task finishes; else
+    the component of the node with most links goes first, as what it reaches and is reached from. If many are left still,
     the lowest id that reaches a node spreads forward, components are what the lowest ids reach back, and the rest goes on
     until none is left. A rest after ``rounds`` distributed rounds, if given, is an error.
     """
     left, n = _trim(links, local_links)
     if n <= local_links:
         return left.repartition(1).mapInPandas(_local, "id long, component long")
-    found: DataFrame | None = None
+    first = cut(_of_hub(left))
+    found: DataFrame = first
+    gone = first.select(F.col("id").alias("a"))
+    left, n = _trim(left.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti"), local_links)
     for turn in count():
+        if n <= local_links:
+            found = found.unionByName(left.repartition(1).mapInPandas(_local, "id long, component long"))
+            break
         if turn == rounds:
             raise ValueError(f"components unresolved after {rounds} rounds")
         ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -111,10 +139,7 @@ def components(links: DataFrame, local_links: int = LOCAL_LINKS, rounds: int | N
             front = cut(up.join(color, ["id", "low"], "left_semi").join(back, "id", "left_anti"))
             back = cut(back.unionByName(front))
         own = back.select("id", F.col("low").alias("component"))
-        found = own if found is None else found.unionByName(own)
+        found = found.unionByName(own)
         left, n = _trim(left.join(back.select(F.col("id").alias("a")), "a", "left_anti").join(back.select(F.col("id").alias("b")), "b", "left_anti"), local_links)
-        if n <= local_links:
-            found = found.unionByName(left.repartition(1).mapInPandas(_local, "id long, component long"))
-            break
     sizes = found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1")
     return found.join(sizes.select("component"), "component", "left_semi").select("id", "component")
