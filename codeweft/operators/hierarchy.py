@@ -30,11 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.names import folded
-from codeweft.session import cut
+from codeweft.session import cut, small
 
 NONE = "cast(null as array<long>)"
 #: Links that one task may finish; at most as many squared pairs come of them.
 FEW = 1000
+#: States with their paths that may be broadcast, some 20 MB.
+PATHS = 200_000
 
 
 def graph_links(edges: DataFrame) -> DataFrame:
@@ -63,6 +65,7 @@ class _Peeled:
     core: DataFrame | None = None
     n: int = 0
     few: int = FEW
+    sizes: list[tuple[int, int]] = field(default_factory=list)  # rows of leaves and of nodes taken out, a round
 
 
 def _coin(node: str, turn: int) -> Column:
@@ -82,10 +85,12 @@ def _peel(links: DataFrame, few: int = FEW) -> _Peeled:
         gone = sum(n for kind, (n, _) in counts.items() if kind != "stay")
         if gone:
             out.rounds.append(marked.filter("kind <> 'stay'").drop("chain"))
+            out.sizes.append((counts.get("leaf", (0, 0))[0], counts.get("taken", (0, 0))[0]))
         if out.n <= few or not (gone or chains):
             return out
         if not gone:
             out.rounds.append(marked.limit(0).drop("chain"))  # another turn of the coins
+            out.sizes.append((0, 0))
 
 
 def _marked(left: DataFrame, turn: int) -> DataFrame:
@@ -224,11 +229,12 @@ def resolve(links: DataFrame, few: int = FEW) -> DataFrame:
 
 def _resolved(p: _Peeled) -> DataFrame:
     parts = _core_state(p, True)
-    for peeled in reversed(p.rounds):
+    known = p.n
+    for peeled, sizes in zip(reversed(p.rounds), reversed(p.sizes)):
         links = peeled.select("tree", "child", "parent", "via").distinct()
         if parts:
             above = reduce(DataFrame.unionByName, parts).select("tree", F.col("node").alias("parent"), "looped", "path")
-            handed = links.join(above, ["tree", "parent"], "left")
+            handed = links.join(small(above, known, PATHS), ["tree", "parent"], "left")
         else:
             handed = links.select("*", F.lit(None).cast("boolean").alias("looped"), F.expr(NONE).alias("path"))
         # A parent without a state has no parent of its own: it is a root. A child's links all left in one round.
@@ -236,6 +242,7 @@ def _resolved(p: _Peeled) -> DataFrame:
             F.coalesce(F.bool_or("looped"), F.lit(False)).alias("looped"), F.min_by(_line(F.coalesce("path", F.array("parent"))), _near()).alias("path")
         )
         parts.append(cut(own.withColumn("path", F.when(~F.col("looped"), F.col("path")))))
+        known += sum(sizes)
     if not parts:
         return p.core.select("tree", F.col("child").alias("node"), F.lit(False).alias("looped"), "via").withColumnRenamed("via", "path").limit(0)
     return reduce(DataFrame.unionByName, parts)
@@ -288,12 +295,12 @@ def _members(links: DataFrame, child: str = "child", parent: str = "parent", via
     return links.select("tree", F.col(parent).alias("ancestor"), F.inline(every))
 
 
-def _told(members: DataFrame, lists: list[DataFrame]) -> DataFrame:
-    """Pairs of the members themselves and of what their lists hold, once each, at the least distance."""
+def _told(members: DataFrame, lists: list[DataFrame], n: int) -> DataFrame:
+    """Pairs of the at most ``n`` members themselves and of what their lists hold, once each, at the least distance."""
     out = members.withColumnRenamed("node", "descendant")
     if lists:
         known = reduce(DataFrame.unionByName, lists).select("tree", F.col("ancestor").alias("node"), "descendant", F.col("distance").alias("_more"))
-        heard = members.join(known, ["tree", "node"])
+        heard = known.join(small(members, n), ["tree", "node"])
         out = out.unionByName(heard.select("tree", "ancestor", "descendant", (F.col("distance") + F.col("_more")).alias("distance")))
     return out.groupBy("tree", "ancestor", "descendant").agg(F.min("distance").alias("distance"))
 
@@ -301,18 +308,21 @@ def _told(members: DataFrame, lists: list[DataFrame]) -> DataFrame:
 def _pairs(p: _Peeled, looped: DataFrame) -> DataFrame:
     """The pairs of ``descendants``: leaves' lists sent up round by round, then those of what wasn't a leaf."""
     sent: list[DataFrame] = []
-    for peeled in p.rounds:
-        sent.append(cut(_told(_members(peeled.filter("kind = 'leaf'")), sent)))
+    taken_out = sum(t for _, t in p.sizes)  # a node taken out is on one link, so this bounds what lies between
+    for peeled, (leaves, _) in zip(p.rounds, p.sizes):
+        sent.append(cut(_told(_members(peeled.filter("kind = 'leaf'")), sent, leaves + taken_out)))
     full: list[DataFrame] = [cut(_core_lists(p, sent))] if p.n else []
-    for peeled in reversed(p.rounds):
+    for peeled, (_, n) in zip(reversed(p.rounds), reversed(p.sizes)):
+        if not n:
+            continue
         taken = peeled.filter("kind = 'taken'")
         # The child of a node taken out has its whole list by now; the nodes between have what was sent to them.
-        child = _told(_members(taken.withColumn("under", F.expr(NONE)), "below", "child", "under"), [*sent, *full])
+        child = _told(_members(taken.withColumn("under", F.expr(NONE)), "below", "child", "under"), [*sent, *full], n)
         step = F.size(F.coalesce("under", F.expr("cast(array() as array<long>)")))
         child = child.join(taken.select("tree", F.col("child").alias("ancestor"), step.alias("_step")), ["tree", "ancestor"])
         child = child.select("tree", "ancestor", "descendant", (F.col("distance") + F.col("_step")).alias("distance"))
         between = _members(taken, "below", "child", "under").join(taken.select("tree", F.col("child").alias("ancestor"), F.col("below").alias("node")), ["tree", "ancestor", "node"], "left_anti")
-        full.append(cut(child.unionByName(_told(between, sent))))
+        full.append(cut(child.unionByName(_told(between, sent, taken_out))))
     every = reduce(DataFrame.unionByName, [*sent, *full]) if sent or full else _members(p.core).withColumnRenamed("node", "descendant").limit(0)
     own = every.join(looped.withColumnRenamed("node", "ancestor"), ["tree", "ancestor"], "left_anti")
     return own.groupBy("tree", "ancestor", "descendant").agg(F.min("distance").alias("distance"))
@@ -346,4 +356,4 @@ def _core_lists(p: _Peeled, sent: list[DataFrame]) -> DataFrame:
     on_links = every.join(links, ["tree", "node"]).select("tree", "ancestor", "distance", F.inline(between))
     members = every.unionByName(on_links.select("tree", "ancestor", F.col("_node").alias("node"), (F.col("distance") + F.col("_more")).alias("distance")))
     # A node's own distance of 0 stands for itself: it brings what was sent to it, and is no pair.
-    return _told(members, sent).filter("distance > 0")
+    return _told(members, sent, 1 << 62).filter("distance > 0")
